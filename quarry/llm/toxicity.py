@@ -1,8 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the *presence* of its words, word pairs and skip-grams
-(pairs with one word between), each hashed to 32 bits; long texts are not
-normalised away, so one tell-tale word weighs the same wherever it stands.
+(pairs with one word between), each hashed to 32 bits; words also count by
+their first 4 and 6 bytes, a crude stem that ties inflected and compounded
+forms.  Long texts are not normalised away, so one tell-tale word weighs the
+same wherever it stands.
 FTRL-proximal keeps per-coordinate learning rates and an L1 term that leaves
 most coordinates at exactly zero: what is kept is a few thousand (index,
 weight) pairs, which are broadcast to a map-only scoring pass.
@@ -40,11 +42,11 @@ MAX_POSITIVE, MAX_NEGATIVE = 4096, 12288
 class Ftrl:
     """Rates and penalties of FTRL-proximal."""
 
-    alpha: float = 0.1
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 3.0
-    l2: float = 1.0
-    epochs: int = 3
+    l1: float = 4.0
+    l2: float = 0.0
+    epochs: int = 5
     min_count: int = 3
 
 
@@ -74,10 +76,14 @@ class Model:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, 32-bit hash) of words, pairs and skip-grams, with repeats."""
-    w = tb.find_words(data, offsets)
-    row = w.row_of()
+    """(row, 32-bit hash) of words, their heads, pairs and skip-grams, with repeats."""
+    w = tb.find_words(data, offsets, hashes=False)
+    row, prefix = w.row_of(), tb.prefix_hashes(data)
+    w.hash = tb.span_hash(prefix, w.start, w.end)
     yield row, _short(w.hash.copy(), 1)
+    for size, kind in ((4, 4), (6, 5)):
+        longer = np.flatnonzero(w.end - w.start > size)
+        yield row[longer], _short(tb.span_hash(prefix, w.start[longer], w.start[longer] + size), kind)
     for gap, kind in ((1, 2), (2, 3)):
         if len(row) > gap:
             same = np.flatnonzero(row[gap:] == row[:-gap])
