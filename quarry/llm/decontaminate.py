@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -163,9 +164,8 @@ def find_contamination(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         ).withColumn("n_hit", F.size("hit_words").cast("long"))
-    share = F.col("n_hit") >= F.lit(min_share) * F.col("n_words")
-    if min_share == 0.05:  # exact in integers
-        share = F.col("n_hit") * 20 >= F.col("n_words")
+    least = Fraction(str(min_share))  # compared in integers
+    share = F.col("n_hit") * least.denominator >= F.col("n_words") * least.numerator
     return out.select("doc_id", "n_words", "n_hit", "item_ids", "spans", ((F.col("n_hit") > 0) & share).alias("contaminated"))
 
 
@@ -191,36 +191,53 @@ def _scanner(held):
     return scan
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = find_contamination(docs, benchmark, id_col=id_col, **how).filter("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
-
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    n: int = WINDOW,
+    min_share: float = 0.05,
+    max_windows: int = MAX_WINDOWS,
+) -> DataFrame:
+    """The documents without those that are contaminated and, in the others, without the
+    hit words and what stands between them; all columns stay.
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", n: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """The documents with the hit words and what stands between them cut out of the text."""
-    spark, cols = docs.sparkSession, docs.columns
+    Map-only if the benchmark is one block.  With several, contaminated documents are
+    found first and leave by an anti-join on the id, then each block cuts its spans.
+    """
+    spark, cols, share = docs.sparkSession, docs.columns, Fraction(str(min_share))
     at = cols.index(text_col)
-    for items in _blocks(benchmark, item_col, item_text_col, n, max_windows):
-        held = spark.sparkContext.broadcast(WindowSet(items, n))
-
-        def cut(batches, held=held):
+    held = [spark.sparkContext.broadcast(WindowSet(b, n)) for b in _blocks(benchmark, item_col, item_text_col, n, max_windows)]
+    drop = len(held) == 1
+    if not drop:
+        found = find_contamination(
+            docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, n=n, min_share=min_share, max_windows=max_windows
+        )
+        bad = found.filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+        docs = docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    for block in held:
+
+        def cut(batches, block=block):
             for batch in batches:
                 texts = batch.column(at)
                 data, offsets = tb.buffer(texts)
-                out = []
+                out, kept = [], []
                 for lo, hi in tb.pieces(offsets):
-                    o = offsets[lo : hi + 1] - offsets[lo]
-                    d = data[offsets[lo] : offsets[hi]]
-                    for r, _, _, _, spans in held.value.scan(d, o):
+                    o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
+                    for r, n_words, hit, _, spans in block.value.scan(d, o):
+                        kept.append(not (drop and hit and len(hit) * share.denominator >= n_words * share.numerator))
                         raw, rest, last = d[o[r] : o[r + 1]].tobytes(), [], 0
                         for s in spans:
                             rest.append(raw[last : s["start"]])
                             last = s["end"]
                         out.append(b"".join([*rest, raw[last:]]).decode() if texts[lo + r].is_valid else None)
                 arrays = [*batch.columns]
-                arrays[at] = pa.array(out, pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, cols)
+                arrays[at] = pa.array(out, texts.type)
+                yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(kept, pa.bool_()))
 
         docs = docs.mapInArrow(cut, docs.schema)
     return docs

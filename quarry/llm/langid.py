@@ -284,17 +284,28 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: the id (and the columns ``keep``), ``lang_pred`` and ``score``, the share of the best language."""
+def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id``, ``lang_pred`` and ``score``, the share of the best language."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [id_col, *[c for c in keep or [] if c != id_col]]
-    base = docs.select(*cols, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()
         for batch in batches:
-            lang, score = scorer.predict(batch.column(len(cols)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*cols, "lang_pred", "score"])
+            lang, score = scorer.predict(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + ", lang_pred string, score double"
-    return base.mapInArrow(run, schema)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows with a language of at least that share, with all their columns; map-only."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = held.value.scorer()
+        for batch in batches:
+            lang, score = scorer.predict(batch.column(at))
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score.tolist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

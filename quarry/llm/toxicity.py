@@ -215,18 +215,31 @@ def _of(text: str) -> int:
     return int.from_bytes(text.encode()[-8:].rjust(8, b"\0"), "little")
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: the id (and the columns ``keep``), ``score`` and ``predicted`` (1 at 0.5 and above)."""
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    data, offsets = tb.buffer(texts)
+    parts = [model.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in tb.pieces(offsets)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id``, ``score`` and ``predicted`` (1 at 0.5 and above)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [id_col, *[c for c in keep or [] if c != id_col]]
-    base = docs.select(*cols, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tb.buffer(batch.column(len(cols)))
-            for lo, hi in tb.pieces(offsets):
-                s = held.value.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(cols))), pa.array(s)], [*cols, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(held.value, batch.column(1)))], ["doc_id", "score"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    scored = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows whose score is below ``limit``, with all their columns; map-only."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(held.value, batch.column(at)) < limit))
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + ", score double"
-    return base.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.mapInArrow(run, docs.schema)
