@@ -243,8 +243,12 @@ def train(
     base = docs if usable is None else docs.filter(usable)
     base = base.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     base = base.filter("id is not null and lang is not null and text is not null")
+    # rows with a hash far above the expected max_docs-th smallest stay out of the ranking's shuffle
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = base.select("id", "lang").distinct().withColumn("k", rank).filter(F.col("k") <= max_docs).select("id", "lang")
+    share = F.xxhash64("id") / F.lit(2.0**64) + 0.5
+    sizes = F.broadcast(base.groupBy("lang").agg(F.count("*").alias("n")))  # a row for each language
+    likely = base.select("id", "lang").join(sizes, "lang").filter(share * F.col("n") <= 1.3 * max_docs + 50).select("id", "lang").distinct()
+    chosen = likely.withColumn("k", rank).filter(F.col("k") <= max_docs).select("id", "lang")
     # narrow rows, at most max_docs for each language
     counted = (
         base.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text")
