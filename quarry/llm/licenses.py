@@ -99,18 +99,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
         raise ValueError(f"{len(anchors)} anchors are too many to broadcast")
     bounds = [size_bounds(len(own), threshold) for own in made.values()]
     low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
-    least_words = low + 1  # repeated bigrams count once, so the upper bound holds for distinct ones only
     text = F.col(text_col)
     lines = F.split(text, "\n")
-    units = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("line"), text.alias("unit")))).otherwise(F.expr("array()").cast("array<struct<line:int,unit:string>>"))
-    words = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.inline(F.concat(units, whole)))
-    words = words.filter(F.length("unit") >= 2 * least_words - 1)
-    words = words.select("doc_id", "line", F.split(normalise(F.col("unit")), " ").alias("w")).filter(F.size("w") >= least_words)
-    pairs = F.transform(F.slice("w", 2, F.size("w") - 1), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
-    found = words.select("doc_id", "line", pairs.alias("pairs"))
+    units = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.split(normalise(x), " ").alias("w")))
+    whole = F.struct(F.lit(0).alias("line"), F.split(normalise(text), " ").alias("w"))
+    more = F.when(F.size(lines) > 1, F.array(whole)).otherwise(F.array_remove(F.array(whole), whole))
+    # inline() also keeps the optimiser from copying what makes its columns into each later use
+    words = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.inline(F.concat(units, more)))
+    # n words have n - 1 bigrams at most, and at least as many distinct ones as they have distinct words, less one
+    words = words.filter((F.size("w") > low) & (F.size(F.array_distinct("w")) <= high + 1))
+    n = F.size("w") - 1
+    made_pairs = F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda x, y: F.concat_ws(" ", x, y))
     names = sorted({b for b, _ in anchors})
-    found = found.withColumn("hit", F.array_distinct(F.filter("pairs", lambda b: b.isin(names)))).filter(F.size("hit") > 0)
+    found = words.select("doc_id", "line", F.inline(F.array(F.struct(made_pairs.alias("pairs"))))).filter(F.exists("pairs", lambda b: b.isin(names)))
+    found = found.withColumn("hit", F.array_distinct(F.filter("pairs", lambda b: b.isin(names))))
     found = found.select("doc_id", "line", "hit", F.array_distinct("pairs").alias("own")).filter(F.size("own").between(low, high))
     anchor_rows = spark.createDataFrame([(b, n, made[n], len(made[n]), *size_bounds(len(made[n]), threshold)) for b, n in anchors], "anchor string, template string, other array<string>, size int, low int, high int")
     met = found.withColumn("anchor", F.explode("hit")).join(F.broadcast(anchor_rows), "anchor")
