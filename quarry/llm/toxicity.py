@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 
-MAX_POSITIVE, MAX_NEGATIVE = 4096, 12288
+MAX_POSITIVE, MAX_NEGATIVE = 4096, 8192
 
 
 @dataclass(frozen=True)
@@ -114,17 +114,19 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, how: Ftrl) -> Model:
     for r in rows:
         slot = r & 0xFFFFFF
         counts[slot] = np.where(counts[slot] < 255, counts[slot] + 1, 255)
-    rows = [r[counts[r & 0xFFFFFF] >= how.min_count] for r in rows]
+    for i, r in enumerate(rows):  # in place: the rare ones are freed row by row
+        rows[i] = r[counts[r & 0xFFFFFF] >= how.min_count]
     del counts
-    index, inverse, df = np.unique(np.concatenate(rows) if rows else np.empty(0, np.uint32), return_inverse=True, return_counts=True)
-    keep = df >= how.min_count
-    place = np.where(keep, np.cumsum(keep) - 1, -1)
-    index = index[keep]
-    cut = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    held = np.concatenate(rows) if rows else np.empty(0, np.uint32)
+    held.sort()
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.empty(0, np.int64)
+    index = held[first][np.diff(np.append(first, len(held))) >= how.min_count]
+    del held, first
     coords = []
-    for a, b in zip(cut[:-1], cut[1:]):
-        c = place[inverse[a:b]]
-        coords.append(c[c >= 0].astype(np.int32))
+    for r in rows:
+        at = np.searchsorted(index, r)
+        at[at == len(index)] = 0
+        coords.append(at[index[at] == r].astype(np.int32) if len(index) else np.empty(0, np.int32))
     z, n = np.zeros(len(index)), np.zeros(len(index))
     zb, nb = 0.0, 0.0
 
@@ -182,9 +184,16 @@ def train(
     rows = texts.join(F.broadcast(sample), "id").mapInArrow(_featurise, "o long, id string, y int, f binary")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(o, i, y, f) for b in batches for o, i, y, f in zip(*(c.to_pylist() for c in b.columns))]
-        held.sort(key=lambda r: (r[0], r[1], r[3]))
-        model = fit_rows([np.frombuffer(f, np.uint32) for *_, f in held], np.array([r[2] for r in held], float), how)
+        held = []
+        for batch in batches:
+            o, i, y = (batch.column(c).to_pylist() for c in range(3))
+            for k in range(batch.num_rows):
+                held.append((o[k], i[k], y[k], np.frombuffer(batch.column(3)[k].as_buffer(), np.uint32).copy()))
+        held.sort(key=lambda r: (r[0], r[1], len(r[3])))
+        labels = np.array([r[2] for r in held], float)
+        rows = [r[3] for r in held]
+        del held
+        model = fit_rows(rows, labels, how)
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *model.index.tolist()], pa.int64()), pa.array([model.bias, *model.weight.tolist()], pa.float64())], ["i", "w"]
         )
