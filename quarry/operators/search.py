@@ -63,34 +63,41 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Lazy tables that lists of hits share: the matching tokens of a passage table and its statistics."""
+    """What lists of hits share: the matching tokens of a passage table, their scores, its statistics.
+
+    Only tokens whose stem some question has are kept; they and their scores are
+    persisted (to disk where memory is short), as every list reads them.
+    """
 
     def __init__(self, passages: DataFrame, terms: DataFrame) -> None:
         """``terms`` has the ``stem`` of every query term there is."""
         self.passages, found = passages, tokens(passages)
         wanted = terms.select("stem").distinct()
         vocabulary = stem_vocabulary(found).join(wanted, "stem", "left_semi")
-        self.stats = corpus_stats(passages)
-        self.places = found.join(vocabulary, "word").select("chunk_id", "len", "col", "weight", "pos", "stem")
-        self.freq = self.places.groupBy("stem", "chunk_id", "len").agg(F.sum("weight").alias("freq"))
-        self.df = self.freq.groupBy("stem").agg(F.count("*").alias("df"))
+        row = corpus_stats(passages).first()
+        self.n_chunks, self.avg_len = row["n_chunks"], row["avg_len"] or 1.0
+        self.places = found.join(vocabulary, "word").select("chunk_id", "len", "col", "weight", "pos", "stem").persist()
+        freq = self.places.groupBy("stem", "chunk_id", "len").agg(F.sum("weight").alias("freq"))
+        rows = freq.join(freq.groupBy("stem").agg(F.count("*").alias("df")), "stem")
+        self.scored = self.score(rows).select("stem", "chunk_id", "df", "score").persist()
+        self.df = self.scored.groupBy("stem").agg(F.first("df").alias("df"))
 
     def contributions(self) -> DataFrame:
         """``stem, chunk_id, score``: what a term adds to a chunk's BM25."""
-        return _score(self.freq.join(self.df, "stem"), self.stats).select("stem", "chunk_id", "score")
-
+        return self.scored.select("stem", "chunk_id", "score")
 
-def _score(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """Adds ``score`` to rows of ``freq, len, df``; one row of statistics goes along."""
-    idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    length = 1 - B + B * F.col("len") / F.col("avg_len")
-    return rows.crossJoin(F.broadcast(stats)).withColumn("score", idf * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * length))
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Adds ``score`` to rows of ``freq, len, df``."""
+        idf = F.log((self.n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
+        length = 1 - B + B * F.col("len") / self.avg_len
+        return rows.withColumn("score", idf * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * length))
 
 
 def top(hits: DataFrame, n: int, name: str | None = None) -> DataFrame:
-    """The best ``n`` hits of each question with ``rank`` from 0; ties go to the smaller chunk id."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    """The best ``n`` hits of each question with ``rank`` from 0; scores are compared
+    at nine digits and ties go to the smaller chunk id."""
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     out = hits.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < n)
     return out if name is None else out.select("qid", F.lit(name).alias("signal"), "chunk_id", "rank", "score")
 
@@ -99,9 +106,9 @@ def rarity(index: Index, terms: DataFrame, share: float = 0.03, min_df: int = 2)
     """Question terms with ``df`` (terms in fewer than ``min_df`` chunks count as absent), ``idf``,
     ``use`` (order among informative terms: those in less than ``share`` of the chunks, or all if
     there are none) and ``rare`` (order by idf)."""
-    known = terms.join(index.df.filter(F.col("df") >= min_df), "stem", "left").crossJoin(F.broadcast(index.stats))
+    known = terms.join(index.df.filter(F.col("df") >= min_df), "stem", "left")
     df = F.coalesce("df", F.lit(0))
-    rows = known.select("qid", "pos", "word", "stem", df.alias("df"), F.log((F.col("n_chunks") - df + 0.5) / (df + 0.5) + 1).alias("idf"), (df < F.col("n_chunks") * share).alias("low"))
+    rows = known.select("qid", "pos", "word", "stem", df.alias("df"), F.log((index.n_chunks - df + 0.5) / (df + 0.5) + 1).alias("idf"), (df < index.n_chunks * share).alias("low"))
     by = Window.partitionBy("qid")
     rows = rows.withColumn("any_low", F.max("low").over(by)).filter("low or not any_low")
     return rows.select(
@@ -153,7 +160,7 @@ def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
     begins = met.groupBy("qid", "size", "chunk_id", "len", "col", "weight", (F.col("pos") - F.col("i")).alias("begin")).agg(F.count_distinct("i").alias("n")).filter("n = size")
     freq = begins.groupBy("qid", "chunk_id", "len").agg(F.sum("weight").alias("freq"))
     df = freq.groupBy("qid").agg(F.count("*").alias("df"))
-    return _score(freq.join(df, "qid"), index.stats).select("qid", "chunk_id", "score")
+    return index.score(freq.join(df, "qid")).select("qid", "chunk_id", "score")
 
 
 def search_phrase(index: Index, phrases: DataFrame, limit: int = 20, name: str = "bm25_phrase") -> DataFrame:
@@ -164,7 +171,7 @@ def search_inside(index: Index, terms: DataFrame, docs: DataFrame, limit: int =
     """The OR hits inside linked documents ``docs(qid, doc_id)``, ``limit`` for each of them."""
     inside = index.passages.select("chunk_id", "doc_id").join(F.broadcast(docs), "doc_id")
     met = index.contributions().join(F.broadcast(terms.select("qid", "stem")), "stem").groupBy("qid", "chunk_id").agg(F.sum("score").alias("score"))
-    w = Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "chunk_id")
+    w = Window.partitionBy("qid", "doc_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     hits = met.join(inside, ["qid", "chunk_id"]).withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < limit)
     return hits.select("qid", F.lit(name).alias("signal"), "chunk_id", "rank", "score")
 
@@ -205,7 +212,8 @@ def rerank(pool: DataFrame, passages: DataFrame, questions: DataFrame, docs: Dat
     pool alone.
     """
     none = F.expr("cast(array() as array<string>)")
-    met = pool.join(passages, "chunk_id")
+    # the pool has a bounded number of rows for each question; three joins read it
+    met = pool.join(passages, "chunk_id").persist()
     q = stem_lists(questions, ["qid"], "question", "q")
     seq = stem_lists(met.select("chunk_id", F.concat_ws(". ", "title", "text").alias("body")).distinct(), ["chunk_id"], "body", "seq")
     named = stem_lists(met.select("doc_id", "title").distinct(), ["doc_id"], "title", "t")

@@ -12,7 +12,7 @@ WEIGHTS = {"bm25_and": 1.0, "bm25_or": 0.8, "bm25_ent_and": 1.0, "bm25_phrase":
 
 def lexical_lists(index: search.Index, terms: DataFrame) -> DataFrame:
     """The AND and OR lists of each question."""
-    rare = search.rarity(index, terms)
+    rare = search.rarity(index, terms).persist()  # a row for each question term
     every = search.search_all(index, rare.filter("rare <= 4"), 60)
     some = search.search_any(index, rare.filter("use <= 12"), 80)
     return every.unionByName(some)
