@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.stem import stem_vocabulary
+from ..functions.stem import stem_arrays, stem_vocabulary
 
 #: BM25 with the weights of title, section and body.
 WEIGHTS = {"title": 6.0, "section": 2.0, "text": 1.0}
@@ -58,8 +58,9 @@ def postings(passages: DataFrame) -> DataFrame:
 
 def question_terms(questions: DataFrame) -> DataFrame:
     """``qid, pos, word, stem`` of distinct content words, in order of first use."""
-    found = questions.select("qid", F.posexplode(F.array_distinct(tx.content_words(F.col("question")))).alias("pos", "word"))
-    return found.join(stem_vocabulary(found), "word").select("qid", "pos", "word", "stem")
+    held = questions.select("qid", F.array_distinct(tx.content_words(F.coalesce("question", F.lit("")))).alias("w"))
+    both = held.select("qid", F.posexplode(F.arrays_zip("w", stem_arrays("w").alias("s"))).alias("pos", "t"))
+    return both.select("qid", "pos", F.col("t.w").alias("word"), F.col("t.s").alias("stem"))
 
 
 class Index:
@@ -197,11 +198,9 @@ def signal_map(lists: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def stem_lists(rows: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """The rows' keys with the stems of a text's content words, in order."""
-    held = rows.select(*keys, tx.content_words(F.coalesce(F.col(col), F.lit(""))).alias("__w"))
-    vocabulary = stem_vocabulary(held.select(F.explode("__w").alias("word")))
-    each = held.select(*keys, F.posexplode("__w").alias("pos", "word")).join(vocabulary, "word")
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias(out))
+    """The rows' keys with the stems of a text's content words, in order; map-only, for questions
+    and pools, which are few next to a corpus (a corpus is stemmed by its vocabulary)."""
+    return rows.select(*keys, stem_arrays(tx.content_words(F.coalesce(F.col(col), F.lit("")))).alias(out))
 
 
 def rerank(pool: DataFrame, passages: DataFrame, questions: DataFrame, docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ ra AS (SELECT qid, pos, word, stem, df, idf, row_number() OVER (PARTITION BY qid
 
 def top(source: str, n: int) -> str:
     """The first ``n`` of ``source(qid, chunk_id, score)``, ranked from 0."""
-    return f"SELECT qid, chunk_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM ({source})) WHERE rank < {n}"
+    return f"SELECT qid, chunk_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM ({source})) WHERE rank < {n}"
 
 
 OR_LIST = top('SELECT qid, chunk_id, sum(score) AS score FROM cb JOIN ra USING (stem) WHERE "use" <= 12 GROUP BY ALL', 80)
@@ -111,7 +111,7 @@ def stem_list(t: str) -> str:
 
 RERANKED = f"""{FUSED}, mp AS (SELECT map(list(word), list(stem)) AS sx FROM stems),
 q2 AS (SELECT qid, {stem_list("question")} AS q FROM qs, mp),
-c2 AS (SELECT chunk_id, ps.doc_id AS doc_id, ord, {stem_list("title || '. ' || body")} AS seq, list_distinct({stem_list("title")}) AS ts, least(1.0, log10(greatest(10, words)) / 4.5) AS prior
+c2 AS (SELECT chunk_id, ps.doc_id AS doc_id, ord, {stem_list("ps.title || '. ' || body")} AS seq, list_distinct({stem_list("ps.title")}) AS ts, least(1.0, log10(greatest(10, words)) / 4.5) AS prior
   FROM ps JOIN ar ON ar.doc_id = ps.doc_id, mp WHERE chunk_id IN (SELECT chunk_id FROM fu WHERE place <= 40)),
 q3 AS (SELECT qid, q, list_distinct(q) AS qs, list_distinct(list_filter(list_transform(range(1, greatest(len(q), 1)), lambda i: CASE WHEN q[i] <> q[i + 1] THEN q[i] || ' ' || q[i + 1] END), lambda z: z IS NOT NULL)) AS qp FROM q2),
 c3 AS (SELECT *, list_distinct(flatten(list_transform(range(1, len(seq) + 1), lambda i: flatten(list_transform([1, 2], lambda d: CASE WHEN i + d <= len(seq) THEN [seq[i] || ' ' || seq[i + d], seq[i + d] || ' ' || seq[i]] ELSE [] END))))) AS sp FROM c2),
