@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as o
+from .functions import scan
 from .functions import text as tx
+from .functions import vector as vx
 from .functions.stem import stem_vocabulary
-from .operators import ingest, search
-from .plans import retrieve
+from .operators import analyze, evidence, ingest, link, search, vectors, verify
+from .plans import research, retrieve
+from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -216,3 +219,283 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_retrieve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieve.retrieve(_questions(spark, sf_dir), _articles(spark, sf_dir), entities=True)
     return found.select("qid", "rank", "chunk_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+# vectors
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vx.doubles(F.col("embedding")).alias("v"), "label")
+
+
+def _vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: the first vector of each label."""
+    first = _vectors(spark, sf_dir).groupBy("label").agg(F.min_by("v", "id").alias("v"), F.min("id").alias("qid"))
+    return first.select("qid", "v")
+
+
+_V = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT arg_min(v, id) AS qv, min(id) AS qid FROM v GROUP BY label)"""
+_CODE = "list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform({}, lambda x: CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS HUGEINT))), lambda a, b: a * 2 + b)"
+
+
+@register(f"WITH {_V} SELECT id, CAST(bit_count({_CODE.format('v')}) AS INT) AS n_bits, CAST({_CODE.format('v')} % 4294967296 AS BIGINT) AS low FROM v")
+def vec_sign_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.get(vx.sign_code(F.col("v"), 64), F.lit(0))
+    return _vectors(spark, sf_dir).select("id", F.bit_count(code).cast("int").alias("n_bits"), code.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
+
+
+@register(f"""WITH {_V}, s AS (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) / 127.0 + 1e-12 AS scale FROM v)
+SELECT id, round(scale, 6) AS scale, array_to_string(list_transform(v, lambda x: CAST(greatest(-127, least(127, round_even(x / scale, 0))) AS INTEGER)), ',') AS q FROM s""")
+def vec_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select("id", F.inline(F.array(vx.quantise(F.col("v"))))).select("id", F.round("scale", 6).alias("scale"), F.array_join(F.col("q").cast("array<string>"), ",").alias("q"))
+
+
+@register(f"""WITH {_V}, s AS (SELECT qid, id, round(list_dot_product(qv, v), 9) AS s FROM q, v)
+SELECT qid, id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def vec_bruteforce_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _vector_questions(spark, sf_dir).withColumnRenamed("v", "qv")
+    rows = _vectors(spark, sf_dir).crossJoin(F.broadcast(q)).select("qid", "id", F.round(vx.dot(F.col("qv"), F.col("v")), 9).alias("s"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "id"))).filter("rank <= 10")
+    return ranked.select("qid", "id", "rank", F.round("s", 6).alias("score"))
+
+
+@register(f"""WITH {_V}, h AS (SELECT qid, id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (qv[i] > 0) <> (v[i] > 0) THEN 1 ELSE 0 END)) AS ham FROM q, v)
+SELECT qid, id, CAST(ham AS INT) AS ham FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ham, id) AS k FROM h) WHERE k <= 40""")
+def vec_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _vector_questions(spark, sf_dir).select("qid", vx.sign_code(F.col("v"), 64).alias("qc"))
+    rows = _vectors(spark, sf_dir).select("id", vx.sign_code(F.col("v"), 64).alias("c")).crossJoin(F.broadcast(q)).select("qid", "id", vx.hamming(F.col("c"), F.col("qc")).alias("ham"))
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("ham", "id"))).filter("k <= 40").drop("k")
+
+
+def _fixed_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).groupBy("label").agg(F.min_by("v", "id").alias("c")).select(F.col("label").alias("list_id"), "c")
+
+
+@register(f"""WITH {_V}, c AS (SELECT label AS list_id, arg_min(v, id) AS c FROM v GROUP BY label), s AS (SELECT id, list_id, round(list_dot_product(v, c), 9) AS s FROM v, c)
+SELECT id, CAST(list_id AS INT) AS list_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, list_id) AS k FROM s) WHERE k = 1""")
+def ivf_assign_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.assign(_vectors(spark, sf_dir), _fixed_centroids(spark, sf_dir)).select("id", F.col("list_id").cast("int").alias("list_id"))
+
+
+@register()
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    centroids = vectors.train_centroids(rows, vectors.list_count(rows.count()))
+    index = vectors.encode(rows, vectors.assign(rows, centroids), 64)
+    return vectors.search(_vector_questions(spark, sf_dir), index, centroids, 64)
+
+
+# questions, answers, benchmark
+
+
+_TYPES = ["COMPARISON", "MULTIHOP", "SYNTHESIS", "EXPLANATION", "NUMERIC", "LOOKUP"]
+# Made-up questions and answers, one of each kind.
+ASKED = [
+    (1, "Which is larger, the lake or the sea?"), (2, "Why does iron rust in water?"), (3, "How many years passed between 1901 and 1956?"), (4, "Who was the first mayor?"),
+    (5, "Give an overview of the trade of salt"), (6, "Mercury"), (7, "Where was the author of the book about bees born?"), (8, "difference between tin and zinc"),
+    (9, "compare steel and brass regarding weight"), (10, "and why?"), (11, "tea vs coffee?"), (12, "What year was the bridge built that joins the two towns which split?"),
+]
+ANSWERED = [
+    (1, "The bridge was built in 1932 [1]. It spans the river [1, 2].\n- The river floods each spring [2-3]\nNobody knows the designer."),
+    (2, "The sources do not mention the price. The tower has 1,250 steps [4]."),
+    (3, "12 × 4 = 50 and (1 + 2) * 3 = 9. The library holds no information."),
+]
+PROVEN = [(1, 1, "Bridge", "The bridge was built in 1932 and spans the river."), (1, 2, "River", "The river floods each spring."), (2, 4, "Tower", "The tower has 250 steps inside.")]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    cells = lambda r: ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in r)
+    return f"(VALUES {', '.join(f'({cells(r)})' for r in rows)}) AS t({names})"
+
+
+def _type_sql(q: str, n_entities: str, n_words: str) -> str:
+    """CASE over the scores of ``operators.analyze`` in SQL."""
+    has = lambda p: f"regexp_matches({q}, '(?i){p}')".replace("''", "'")
+    chain = f"regexp_matches({q}, '{analyze.CHAIN}')"
+    outer = f"({chain} AND regexp_matches(regexp_replace({q}, '{analyze.CHAIN}', ''), '(?i){analyze.PREDICATE}'))"
+    hop0 = f"CASE WHEN {has(analyze.MULTIHOP)} THEN 0.75 ELSE 0.0 END"
+    hop1 = f"CASE WHEN {outer} OR ({chain} AND {has(analyze.GENERIC_CLAUSE)}) OR {has(analyze.NAMED_AFTER)} THEN 0.8 ELSE {hop0} END"
+    hop = f"CASE WHEN len(regexp_extract_all({q}, '(?i){analyze.CLAUSE}')) >= 2 AND {hop1} < 0.6 THEN 0.6 ELSE {hop1} END"
+    pairs = [
+        f"CASE WHEN {has(analyze.COMPARE)} THEN 0.9 WHEN {n_entities} >= 2 AND regexp_matches({q}, '\\b(and|or)\\b') AND {has('^(which|who)\\b')} THEN 0.6 ELSE 0.0 END", hop,
+        *(f"CASE WHEN {has(p)} THEN {s} ELSE 0.0 END" for p, s in ((analyze.SYNTHESIS, 0.7), (analyze.EXPLAIN, 0.75), (analyze.NUMERIC, 0.65), (analyze.LOOKUP, 0.6))),
+    ]
+    return ", ".join(f"{p} AS s{i}" for i, p in enumerate(pairs)) + f", {has(analyze.QUESTION)} OR {q} LIKE '%?' AS asks, {has(analyze.QUANTITY)} AS quantity, {has(analyze.LIST)} AS wants_list"
+
+
+_CLASSIFIED = f"""a0 AS (SELECT item_id AS qid, trim(text) AS q FROM benchmark UNION ALL SELECT qid + 1000000, q FROM {_values(ASKED, "qid, q")}),
+a1 AS (SELECT qid, q, len({o.content("q")}) AS n_words, len(regexp_extract_all(q, '["“]([^"”]{{2,80}})["”]')) AS n_ent FROM a0),
+a2 AS (SELECT *, {_type_sql("q", "n_ent", "n_words")} FROM a1), a3 AS (SELECT *, greatest(s0, s1, s2, s3, s4, s5) AS best FROM a2),
+a4 AS (SELECT *, CASE WHEN best = 0 THEN CASE WHEN n_words <= 2 AND NOT asks THEN 'AMBIGUOUS' ELSE 'LOOKUP' END {" ".join(f"WHEN s{i} = best THEN '{t}'" for i, t in enumerate(_TYPES))} END AS t0,
+  CASE WHEN best = 0 THEN CASE WHEN n_words <= 2 AND NOT asks THEN 0.5 ELSE 0.4 END ELSE best END AS c0 FROM a3),
+an AS (SELECT qid, CASE WHEN n_words <= 2 AND q NOT LIKE '%?%' AND n_ent <= 1 AND t0 = 'LOOKUP' THEN 'AMBIGUOUS' ELSE t0 END AS type,
+  CASE WHEN n_words <= 2 AND q NOT LIKE '%?%' AND n_ent <= 1 AND t0 = 'LOOKUP' THEN 0.5 ELSE c0 END AS confidence, CAST(n_words AS INT) AS n_words, s4 > 0 OR quantity AS wants_number, wants_list FROM a4)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.createDataFrame([(i + 1_000_000, q) for i, q in ASKED], "qid long, question string")
+    return _questions(spark, sf_dir).unionByName(made)
+
+
+@register(f"WITH {_CLASSIFIED} SELECT qid, type, CAST(confidence AS DOUBLE) AS confidence, n_words, wants_number, wants_list FROM an")
+def classify_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.analyze(_asked(spark, sf_dir), names=False).select("qid", "type", "confidence", "n_words", "wants_number", "wants_list")
+
+
+@register(f"""WITH {_CLASSIFIED} SELECT qid, type, CASE WHEN type = 'AMBIGUOUS' OR (type = 'LOOKUP' AND NOT (confidence < 0.5 AND n_words >= 6)) THEN 'FAST' ELSE 'STRONG' END AS role,
+  type IN ('COMPARISON', 'SYNTHESIS', 'MULTIHOP') OR (type IN ('EXPLANATION', 'NUMERIC') AND confidence < 0.6) AS plan, type = 'MULTIHOP' AS hops, type IN ('COMPARISON', 'SYNTHESIS', 'MULTIHOP', 'NUMERIC') AS verify,
+  CASE type WHEN 'AMBIGUOUS' THEN 700 WHEN 'LOOKUP' THEN CASE WHEN confidence < 0.5 AND n_words >= 6 THEN 900 ELSE 550 END WHEN 'MULTIHOP' THEN 900 WHEN 'COMPARISON' THEN 1100 WHEN 'SYNTHESIS' THEN 1100 ELSE 1000 END AS evidence_tokens FROM an""")
+def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.route(analyze.analyze(_asked(spark, sf_dir), names=False)).select("qid", "type", "role", "plan", "hops", "verify", "evidence_tokens")
+
+
+@register()
+def comparands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).filter("qid >= 1000000").select("qid", F.array_join(analyze.comparands(F.col("question")), "|").alias("things"))
+
+
+@register()
+def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    return turns.select("conv_id", "turn", analyze.is_follow_up(F.col("question"), F.lit(0)).alias("follow_up"))
+
+
+@register()
+def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = ingest.page_articles(table(spark, sf_dir, "pages"))
+    asked = pages.select(F.col("doc_id").alias("qid"), F.concat(F.lit("What is "), "title", F.lit("?")).alias("question"))
+    docs = pages.select("doc_id", ingest.prior(ingest.count_all_words(F.col("paras"))).alias("prior"))
+    return link.link_entities(asked, ingest.title_table(pages), docs)
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _articles(spark, sf_dir)
+    found = retrieve.retrieve(_questions(spark, sf_dir), rows).join(ingest.passages(rows).select("chunk_id", "title", "text"), "chunk_id")
+    return evidence.sentence_scores(found, analyze.analyze(_questions(spark, sf_dir)))
+
+
+@register()
+def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir)
+
+
+@register()
+def evidence_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.select(_evidence(spark, sf_dir))
+
+
+@register()
+def research_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.research(_questions(spark, sf_dir), _articles(spark, sf_dir))
+
+
+def _answers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ANSWERED, "aid int, answer string")
+
+
+@register(f"SELECT aid, array_to_string({o.citations('answer')}, ',') AS cites FROM {_values(ANSWERED, 'aid, answer')}")
+def citations_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark).select("aid", F.array_join(tx.citations(F.col("answer")).cast("array<string>"), ",").alias("cites"))
+
+
+@register()
+def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(1, "When was the bridge built?", False), (2, "How many steps?", False), (3, "Compute it", True)], "aid int, question string, numeric boolean")
+    return verify.check(verify.claims(_answers(spark)), spark.createDataFrame(PROVEN, "aid int, n int, title string, text string"), asked)
+
+
+@register()
+def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.report(claim_verdicts(spark, sf_dir))
+
+
+@register()
+def arithmetic_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark).select("aid", F.inline(scan.equation_checks("answer")))
+
+
+@register(f"""WITH d AS (SELECT doc_id, {o.norm_title("text")} AS t, {o.words("text")} AS w FROM documents), i AS (SELECT item_id, {o.norm_title("text")} AS t, {o.words("text")}[1:3] AS k FROM benchmark)
+SELECT item_id, doc_id FROM i JOIN d ON contains(' ' || d.t || ' ', ' ' || i.t || ' ') WHERE i.t <> ''""")
+def lenient_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose words stand in a document in order: a phrase of eight words picks candidates by an
+    equi-join, so no document meets items that it does not share a passage with."""
+    window = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(8)), " ")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(tx.words(F.col("text")).alias("w")))))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.inline(F.array(F.struct(tx.words(F.col("text")).alias("w"))))).filter(F.size("w") > 0)
+    keyed = items.select("item_id", F.array_join("w", " ").alias("t"), F.xxhash64(F.array_join(F.slice("w", 1, 8), " ")).alias("key"), F.size("w").alias("n"))
+    found = docs.filter(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(window(F.col("w")))).alias("key")).join(keyed.filter("n >= 8").select("item_id", "t", "key"), "key")
+    short = docs.crossJoin(F.broadcast(keyed.filter("n < 8").select("item_id", "t"))).select("item_id", "t", "doc_id")
+    texts = docs.select("doc_id", F.array_join("w", " ").alias("d"))
+    both = found.select("item_id", "t", "doc_id").unionByName(short).join(texts, "doc_id")
+    return both.filter(F.contains(F.concat(F.lit(" "), "d", F.lit(" ")), F.concat(F.lit(" "), "t", F.lit(" ")))).select("item_id", "doc_id").distinct()
+
+
+@register(f"SELECT aid, regexp_matches(substr(answer, 1, 400), '(?i){analyze.ABSTAIN}') AS abstained FROM {_values(ANSWERED, 'aid, answer')}")
+def abstain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark).select("aid", analyze.looks_abstained(F.col("answer")).alias("abstained"))
+
+
+_RUNS = "r AS (SELECT event_id AS id, event_type AS category, value > 50 AS answer_match, value / 100 AS recall, value AS total_ms, CASE WHEN value > 20 THEN 1 ELSE 0 END AS supported, 1 AS checkable, CASE WHEN value > 99 THEN 'slow' END AS error FROM events)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("category"), (v > 50).alias("answer_match"), (v / 100).alias("recall"), v.alias("total_ms"),
+        (v > 20).cast("int").alias("supported"), F.lit(1).alias("checkable"), F.when(v > 99, "slow").alias("error"),
+    )
+
+
+_SUMMARY = "count(*) AS n, round(avg(CAST(answer_match AS INT)), 6) AS match_rate, round(avg(recall), 6) AS recall, round(median(total_ms) / 1000, 6) AS median_s, round(sum(supported) / sum(checkable), 6) AS grounded, count(error) AS errors"
+
+
+@register(f"WITH {_RUNS} SELECT category, {_SUMMARY} FROM r GROUP BY 1 UNION ALL SELECT '**all**', {_SUMMARY} FROM r")
+def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = verify.bench_summary(_runs(spark, sf_dir))
+    return out.select("category", "n", *(F.round(c, 6).alias(c) for c in ("match_rate", "recall", "median_s", "grounded")), "errors")
+
+
+@register(f"WITH {_RUNS} SELECT category, list_sort(list(total_ms))[len(list(total_ms)) // 2 + 1] AS upper_median FROM r GROUP BY 1")
+def bench_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.upper_median(_runs(spark, sf_dir), "category", "total_ms")
+
+
+@register("""WITH a AS (SELECT user_id AS id, avg(value) AS ms FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id AS id, avg(value) AS ms FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT count(*) AS n, round(median(a.ms), 6) AS median_a, round(median(b.ms), 6) AS median_b FROM a JOIN b USING (id)""")
+def bench_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = lambda kind, out: table(spark, sf_dir, "events").filter(F.col("event_type") == kind).groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias(out))
+    return run("click", "a").join(run("view", "b"), "id").agg(F.count("*").alias("n"), F.round(F.median("a"), 6).alias("median_a"), F.round(F.median("b"), 6).alias("median_b"))
+
+
+@register("SELECT l.doc_id AS id, coalesce(substr(text, 1, 40), '') AS answer, quality || ' | ' || toxic AS grades FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
+def grading_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "left")
+    return rows.select(F.col("doc_id").alias("id"), F.coalesce(F.substring("text", 1, 40), F.lit("")).alias("answer"), F.concat_ws(" | ", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("grades"))
+
+
+@register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@register(f"""WITH {o.ARTICLES}, t AS (SELECT doc_id FROM ar ORDER BY least(1.0, log10(greatest(10, words)) / 4.5) DESC, doc_id LIMIT 50)
+SELECT doc_id * 1000000 + unnest(range(0, len(paras))) AS chunk_id FROM ar WHERE doc_id IN (SELECT doc_id FROM t) UNION SELECT doc_id * 1000000 FROM ar WHERE len(paras) > 0""")
+def scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _articles(spark, sf_dir)
+    parts = ingest.passages(rows)
+    best = rows.select("doc_id", ingest.prior(ingest.count_all_words(F.col("paras"))).alias("prior")).orderBy(F.desc("prior"), "doc_id").limit(50)
+    return parts.join(best, "doc_id", "left_semi").select("chunk_id").unionByName(parts.filter("ord = 0").select("chunk_id")).distinct()
+
+
+@register(rf"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents)
+SELECT doc_id, md5(array_to_string(CASE WHEN len(w) <= 300 THEN w ELSE w[1:100] || w[len(w) - 199 : len(w)] END, ' ')) AS cut FROM t""")
+def prompt_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    held = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(w.alias("w")))))
+    return held.select("doc_id", F.md5(F.array_join(tx.truncate_middle(F.col("w"), 300), " ")).alias("cut"))
+
+
+@register("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = incremental.event_windows(table(spark, sf_dir, "events"))
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
