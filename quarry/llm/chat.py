@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 BUDGET, HISTORY = 1024, 256
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens of a turn besides its role and text: two marks and two line ends.
@@ -185,7 +187,7 @@ def format_windows(
     def _batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return rows.mapInArrow(run, WINDOWS.format(kind))
+    return rows.mapInArrow(lean(run), WINDOWS.format(kind))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -225,5 +227,5 @@ def read_back(windows: DataFrame) -> DataFrame:
             yield batch_of([done()])
 
     return windows.select("conv_id", "window", "repeated", "text", "loss").mapInArrow(
-        run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+        lean(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .shared import lean
 
 WINDOW = 13
 #: Windows of one broadcast block: about 200 MB at 100 bytes each.
@@ -150,7 +151,7 @@ def find_contamination(
     found = []
     for items in _blocks(benchmark, item_col, item_text_col, n, max_windows):
         held = spark.sparkContext.broadcast(WindowSet(items, n))
-        found.append(base.mapInArrow(_scanner(held), schema))
+        found.append(base.mapInArrow(lean(_scanner(held)), schema))
     if len(found) == 1:
         out = found[0].withColumn("n_hit", F.size("hit_words").cast("long"))
     else:
@@ -239,5 +240,5 @@ def clean(
                 arrays[at] = pa.array(out, texts.type)
                 yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(kept, pa.bool_()))
 
-        docs = docs.mapInArrow(cut, docs.schema)
+        docs = docs.mapInArrow(lean(cut), docs.schema)
     return docs

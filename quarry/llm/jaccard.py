@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .shared import sorted_groups, stash
+from .shared import lean, sorted_groups, stash
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK = 256
@@ -253,7 +253,7 @@ def near_duplicates(
     bands, rows = choose_bands(threshold, recall, max_hashes)
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stash(base.mapInArrow(_signatures(n, bands, rows), f"id {kind}, d1 long, d2 long, n int, bands array<long>"), "signatures")
+    signed = stash(base.mapInArrow(lean(_signatures(n, bands, rows)), f"id {kind}, d1 long, d2 long, n int, bands array<long>"), "signatures")
     reps = stash(
         signed.filter("d1 is not null").groupBy("d1", "d2")
         .agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -269,7 +269,7 @@ def near_duplicates(
     candidates = stash(sized.join(reps.select("rid", "d1", "d2", "copies"), "rid"), "candidates")
 
     held = spark.sparkContext.broadcast(_bitmap(spark, candidates, filter_bits))
-    sets = base.select("text").mapInArrow(_sets_of(held, filter_bits, n), "d1 long, d2 long, grams binary")
+    sets = base.select("text").mapInArrow(lean(_sets_of(held, filter_bits, n)), "d1 long, d2 long, grams binary")
     blocks = F.ceil(F.col("m") / block).cast("int")
     parts = (
         candidates.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
@@ -278,7 +278,7 @@ def near_duplicates(
     )
     checked = stash(
         parts.join(sets, ["d1", "d2"]).drop("d1", "d2").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-        .mapInArrow(_verify(Fraction(str(threshold))), "rid long, root long, links long"),
+        .mapInArrow(lean(_verify(Fraction(str(threshold)))), "rid long, root long, links long"),
         "links",
     )
     roots = components(checked.filter("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))

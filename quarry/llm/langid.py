@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .shared import lean
 
 UNKNOWN = "und"
 MAX_WORD = 31
@@ -252,7 +253,7 @@ def train(
     # narrow rows, at most max_docs for each language
     counted = (
         base.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text")
-        .mapInArrow(_count_words, "lang string, word binary, n long")
+        .mapInArrow(lean(_count_words), "lang string, word binary, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
     pieces = vocabulary(model_file)
@@ -299,7 +300,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -312,4 +313,4 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least:
             lang, score = scorer.predict(batch.column(at))
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 TILE = 32
 _SLICE = 1 << 20
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
@@ -195,7 +197,7 @@ def media_tiles(images: DataFrame, *, media_col: str = "media", size: int = TILE
                     first, held, out = i + 1, 0, []
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema)
-    return images.mapInArrow(run, f"{fields}, {RESULT}")
+    return images.mapInArrow(lean(run), f"{fields}, {RESULT}")
 
 
 def text_image(text: Column, width: int = 64) -> Column:

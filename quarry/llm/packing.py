@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import stash
+from .shared import lean, stash
 
 CAPACITY = 4096
 END = 1
@@ -156,7 +156,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", te
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 class Rooms:
@@ -254,7 +254,7 @@ def pack(pieces: DataFrame, *, length_col: str = "length", capacity: int = CAPAC
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), part)), pa.array(own)], [*cols, "__part", "__rank"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    ranked = stash(pieces.mapInArrow(rank, f"{fields}, __part long, __rank long"), "pieces")
+    ranked = stash(pieces.mapInArrow(lean(rank), f"{fields}, __part long, __rank long"), "pieces")
     counts = ranked.groupBy("__part", length_col).agg(F.count("*").alias("__n"))
     histogram = {r[length_col]: r["n"] for r in counts.groupBy(length_col).agg(F.sum("__n").alias("n")).collect()}  # at most capacity rows
     rows, _ = plan(histogram, capacity)
@@ -273,7 +273,7 @@ def pack(pieces: DataFrame, *, length_col: str = "length", capacity: int = CAPAC
             n = own - p[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p[:, 2] + n // p[:, 3]), pa.array(p[:, 4] + n % p[:, 3] * length)], [*cols, "sequence_id", "offset"])
 
-    return joined.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return joined.mapInArrow(lean(place), f"{fields}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .shared import lean
 
 MAX_POSITIVE, MAX_NEGATIVE = 4096, 8192
 
@@ -181,7 +182,7 @@ def train(
         known.filter("y = 1").orderBy(order, "id").limit(max_positive)
         .unionByName(known.filter("y = 0").orderBy(order, "id").limit(max_negative))
     )  # at most max_positive + max_negative narrow rows, so it may be broadcast
-    rows = texts.join(F.broadcast(sample), "id").mapInArrow(_featurise, "o long, id string, y int, f binary")
+    rows = texts.join(F.broadcast(sample), "id").mapInArrow(lean(_featurise), "o long, id string, y int, f binary")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -198,7 +199,7 @@ def train(
             [pa.array([-1, *model.index.tolist()], pa.int64()), pa.array([model.bias, *model.weight.tolist()], pa.float64())], ["i", "w"]
         )
 
-    fitted = sorted((r["i"], r["w"]) for r in rows.repartition(1).mapInArrow(fit, "i long, w double").collect())
+    fitted = sorted((r["i"], r["w"]) for r in rows.repartition(1).mapInArrow(lean(fit), "i long, w double").collect())
     if not fitted:
         return Model(bias=float(np.log(share / (1 - share))))
     used = {1: min(total[1], max_positive), 0: min(total[0], max_negative)}
@@ -239,7 +240,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(held.value, batch.column(1)))], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -251,4 +252,4 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", limit:
         for batch in batches:
             yield batch.filter(pa.array(_scores(held.value, batch.column(at)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
