@@ -29,7 +29,7 @@ def read_plain_titles(spark: SparkSession, path: str) -> DataFrame:
     after each, and a running count of titles groups lines into articles.  A file is one
     task's work: split a large dump into files first.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
     lines = files.select("file", F.posexplode("lines").alias("no", "line"))
     w = Window.partitionBy("file").orderBy("no")
     marked = lines.withColumn("title", tx.is_title(F.col("line"), F.coalesce(F.lead("line").over(w), F.lit(""))))
