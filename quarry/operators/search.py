@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stem import stem_arrays, stem_vocabulary
+from ..storage import cut
 
 #: BM25 with the weights of title, section and body.
 WEIGHTS = {"title": 6.0, "section": 2.0, "text": 1.0}
@@ -83,6 +84,10 @@ class Index:
         self.scored = self.score(rows).select("stem", "chunk_id", "df", "score").persist()
         self.df = self.scored.groupBy("stem").agg(F.first("df").alias("df"))
 
+    def release(self) -> None:
+        self.scored.unpersist()
+        self.places.unpersist()
+
     def contributions(self) -> DataFrame:
         """``stem, chunk_id, score``: what a term adds to a chunk's BM25."""
         return self.scored.select("stem", "chunk_id", "score")
@@ -211,8 +216,8 @@ def rerank(pool: DataFrame, passages: DataFrame, questions: DataFrame, docs: Dat
     pool alone.
     """
     none = F.expr("cast(array() as array<string>)")
-    # the pool has a bounded number of rows for each question; three joins read it
-    met = pool.join(passages, "chunk_id").persist()
+    # the pool has a bounded number of rows for each question; three joins read its texts
+    met = cut(pool.join(passages, "chunk_id"), "texts")
     q = stem_lists(questions, ["qid"], "question", "q")
     seq = stem_lists(met.select("chunk_id", F.concat_ws(". ", "title", "text").alias("body")).distinct(), ["chunk_id"], "body", "seq")
     named = stem_lists(met.select("doc_id", "title").distinct(), ["doc_id"], "title", "t")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.stem import stem_arrays
 from ..operators import analyze, evidence, ingest, verify
+from ..storage import cut
 from . import retrieve
 
 MIN_CONFIDENCE = 0.34
@@ -53,11 +54,11 @@ def extractive_answer(found: DataFrame) -> DataFrame:
 
 def research(questions: DataFrame, articles: DataFrame, *, budget: evidence.Budget = evidence.Budget(), answer: Callable[[DataFrame], DataFrame] = extractive_answer, k: int = 10) -> DataFrame:
     """``aid, answer, checkable, supported, unsupported, support_rate, citation_errors, abstained``."""
-    analyzed = analyze.analyze(questions)
+    analyzed = cut(analyze.analyze(questions), "questions")
     passages = ingest.passages(articles)
-    hits = retrieve.retrieve(questions, articles, k=k).persist()
-    texts = hits.join(passages.select("chunk_id", "title", "text"), "chunk_id")
-    found = evidence.select(evidence.sentence_scores(texts, analyzed, budget), budget).persist()
+    hits = cut(retrieve.retrieve(questions, articles, k=k), "hits")
+    texts = cut(hits.join(passages.select("chunk_id", "title", "text"), "chunk_id"), "texts")
+    found = cut(evidence.select(evidence.sentence_scores(texts, analyzed, budget), budget), "evidence")
     named = found.join(texts.select("qid", (F.col("rank") - 1).alias("src"), "title"), ["qid", "src"])
     enough = questions.select("qid").join(hits.filter("rank = 1").select("qid", "coverage"), "qid", "left").join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left")
     gate = sufficient(F.coalesce("n", F.lit(0)), F.coalesce("coverage", F.lit(0.0)), F.lit(0), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest, link, search
+from ..storage import cut
 
 WEIGHTS = {"bm25_and": 1.0, "bm25_or": 0.8, "bm25_ent_and": 1.0, "bm25_phrase": 0.5, "title_lead": 1.1, "title_inner": 1.0, "dense": 1.0, "dense_q": 0.6}
 
@@ -30,13 +31,15 @@ def retrieve(questions: DataFrame, articles: DataFrame, *, k: int = 10, max_per_
     lists = lexical_lists(index, terms).withColumn("weight", F.lit(1.0))
     linked = None
     if entities:
-        linked = link.link_entities(questions, ingest.title_table(articles), articles.select("doc_id", ingest.prior(ingest.count_all_words(F.col("paras"))).alias("prior")))
+        linked = cut(link.link_entities(questions, ingest.title_table(articles), articles.select("doc_id", ingest.prior(ingest.count_all_words(F.col("paras"))).alias("prior"))), "linked")
         lead = linked.select("qid", F.lit("title_lead").alias("signal"), (F.col("doc_id") * ingest.CHUNKS_PER_DOC).alias("chunk_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"), F.col("strength").alias("weight"))
         inner = search.search_inside(index, search.rarity(index, terms).filter("use <= 10"), linked.select("qid", "doc_id"))
         strength = linked.groupBy("qid").agg(F.max("strength").alias("weight"))
         lists = lists.unionByName(lead).unionByName(inner.join(F.broadcast(strength), "qid"))
     if dense is not None:
         lists = lists.unionByName(dense.withColumn("weight", F.lit(1.0)))
-    pool = search.fuse(lists, WEIGHTS, max(40, 4 * k))
+    # a bounded number of rows for each question, which several joins read
+    pool = cut(search.fuse(lists, WEIGHTS, max(40, 4 * k)), "pool")
+    index.release()
     docs = articles.select("doc_id", ingest.prior(ingest.count_all_words(F.col("paras"))).alias("prior"))
     return search.diversify(search.rerank(pool, passages, questions, docs, linked), k, max_per_doc)

@@ -14,6 +14,7 @@ from .functions import vector as vx
 from .functions.stem import stem_vocabulary
 from .operators import analyze, evidence, ingest, link, search, vectors, verify
 from .plans import research, retrieve
+from .storage import cut
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,7 +203,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(title_overlap, 6) AS title_overlap, round(prior, 6) AS prior, round(score, 6) AS score FROM sc""")
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, terms = _index(spark, sf_dir)
-    pool = search.fuse(retrieve.lexical_lists(index, terms), retrieve.WEIGHTS, 40)
+    pool = cut(search.fuse(retrieve.lexical_lists(index, terms), retrieve.WEIGHTS, 40), "pool")
     rows = _articles(spark, sf_dir)
     docs = rows.select("doc_id", ingest.prior(ingest.count_all_words(F.col("paras"))).alias("prior"))
     out = search.rerank(pool, ingest.passages(rows), _questions(spark, sf_dir), docs)
@@ -371,7 +372,7 @@ def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _articles(spark, sf_dir)
     found = retrieve.retrieve(_questions(spark, sf_dir), rows).join(ingest.passages(rows).select("chunk_id", "title", "text"), "chunk_id")
-    return evidence.sentence_scores(found, analyze.analyze(_questions(spark, sf_dir)))
+    return evidence.sentence_scores(cut(found, "texts"), cut(analyze.analyze(_questions(spark, sf_dir)), "questions"))
 
 
 @register()
