@@ -155,14 +155,15 @@ def citations(text: Column) -> Column:
 
 
 def strip_citations(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, CITATION, ""), r"\s{2,}", " "))
+    return F.trim(F.regexp_replace(text, r"\s*\[[\d,\s–-]+\]", ""))
 
 
 def strip_reasoning(text: Column) -> Column:
-    """Without <think> blocks: closed ones, one that only ends, and one that never ends."""
-    closed = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    led = F.regexp_replace(closed, r"(?s)^.*?</think>", "")
-    return F.regexp_replace(F.regexp_replace(led, r"(?s)<think>.*$", ""), r"^\s+|\s+$", "")
+    """Without <think> blocks; a text may begin inside one (its first tag closes) or end inside one."""
+    shut, opened = F.locate("</think>", text), F.locate("<think>", text)
+    inside = (shut > 0) & ((opened == 0) | (shut < opened))
+    rest = F.when(inside, F.substring(text, shut + 8, F.length(text))).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(rest, r"(?s)<think>.*?(</think>|$)", ""), r"^\s+|\s+$", "")
 
 
 def render_evidence(n: Column, title: Column, section: Column, text: Column) -> Column:
@@ -194,7 +195,19 @@ def truncate_middle(tokens: Column, budget: int) -> Column:
     return F.when(F.size(tokens) <= budget, tokens).otherwise(cut)
 
 
+# Parts of model file names, by role; the first that matches holds.
+ROLES = [
+    (None, "mmproj"),
+    ("EMBED", "embed|bge-|e5-|minilm|arctic-embed|gte-"),
+    (None, "rerank"),
+    ("DEEP", r"(\d{2,3})b-a\d+(\.\d)?b|a3b|a4b|a2b|20b|24b|26b|27b|30b|35b"),
+    ("FAST", r"e2b|0\.[5-9]b|1b|1\.[0-9]b|2b|lfm2\.5-1"),
+]
+
+
 def model_role(name: Column) -> Column:
-    """The role that a model file's name suggests."""
-    n = F.lower(name)
-    return F.when(n.rlike("embed|bge|e5-|gte-"), "EMBED").when(n.rlike(r"moe|-a\d+b|olmoe"), "DEEP").when(n.rlike(r"(^|[^0-9.])(0\.\d+|1(\.\d+)?|2)b"), "FAST").otherwise("STRONG")
+    """The role that a model file's name suggests; null for parts that are no model of their own."""
+    role = F.lit("STRONG")
+    for found, pattern in reversed(ROLES):
+        role = F.when(F.lower(name).rlike(pattern), F.lit(found).cast("string")).otherwise(role)
+    return role

@@ -14,19 +14,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda n, x: n + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` with ``value`` computed once a row; a higher-order function computes what it closes over once an element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalise(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    scaled = lambda v, norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return let(v, lambda v: let(F.sqrt(dot(v, v)), lambda norm: scaled(v, norm)))
 
 
 def matryoshka(v: Column, dim: int, layernorm: bool = False) -> Column:
     """The first ``dim`` values, of the vector scaled to mean 0 and deviation 1 if asked, with length 1."""
-    if layernorm:
-        n = F.size(v)
-        mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-        sd = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n + 1e-5)
-        v = F.transform(v, lambda x: (x - mean) / sd)
-    return l2_normalise(F.slice(v, 1, dim))
+
+    def head(v: Column, mean: Column) -> Column:
+        sd = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(v)) + 1e-5
+        return let(sd, lambda sd: F.transform(F.slice(v, 1, dim), lambda x: (x - mean) / sd))
+
+    if not layernorm:
+        return l2_normalise(F.slice(v, 1, dim))
+    return l2_normalise(let(v, lambda v: let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v), lambda mean: head(v, mean))))
 
 
 def sign_code(v: Column, dim: int) -> Column:
@@ -42,9 +49,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 def quantise(v: Column) -> Column:
     """``struct<scale, q array<tinyint>>``: 8-bit steps of the largest absolute value, halves to even."""
-    scale = F.array_max(F.transform(v, lambda x: F.abs(x))) / 127.0 + 1e-12
-    q = F.transform(v, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.bround(x / scale))).cast("tinyint"))
-    return F.struct(scale.alias("scale"), q.alias("q"))
+    step = lambda x, scale: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.bround(x / scale))).cast("tinyint")
+    both = lambda v, scale: F.struct(scale.alias("scale"), F.transform(v, lambda x: step(x, scale)).alias("q"))
+    return let(v, lambda v: let(F.array_max(F.transform(v, lambda x: F.abs(x))) / 127.0 + 1e-12, lambda scale: both(v, scale)))
 
 
 def dequantised_dot(query: Column, q: Column, scale: Column) -> Column:

@@ -88,7 +88,7 @@ def comparands(q: Column, entities: Column | None = None) -> Column:
 
 
 def is_follow_up(q: Column, n_entities: Column) -> Column:
-    return (tx.count_words(F.trim(q)) <= 3) | (_has(F.trim(q), FOLLOW_UP) & (n_entities == 0))
+    return (F.size(tx.words(q)) <= 3) | (_has(F.trim(q), FOLLOW_UP) & (n_entities == 0))
 
 
 def looks_abstained(answer: Column) -> Column:

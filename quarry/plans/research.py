@@ -24,15 +24,15 @@ def substitute(question: Column, answers: Column) -> Column:
     """``#k`` in a hop's question becomes the answer of hop k; those without an answer become "it"."""
     filled = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.size(answers), F.lit(1))), question,
-        lambda q, k: F.when(F.get(answers, k - 1).isNotNull(), F.replace(q, F.concat(F.lit("#"), k.cast("string")), F.get(answers, k - 1))).otherwise(q),
+        lambda q, k: F.when(F.trim(F.coalesce(F.get(answers, k - 1), F.lit(""))) != "", F.replace(q, F.concat(F.lit("#"), k.cast("string")), F.get(answers, k - 1))).otherwise(q),
     )
-    return F.regexp_replace(filled, r"#\d+", "it")
+    return F.regexp_replace(filled, r"#\d", "it")
 
 
 def echoes(answer: Column, question: Column) -> Column:
     """Whether a short answer only repeats the question's stems."""
-    a, q = stem_arrays(tx.content_words(answer)), stem_arrays(tx.content_words(question))
-    return (F.size(a) <= 6) & (F.size(F.array_except(a, q)) == 0)
+    a, q = F.array_distinct(stem_arrays(tx.content_words(tx.strip_citations(answer)))), stem_arrays(tx.content_words(question))
+    return F.size(a).between(1, 6) & (F.size(F.array_except(a, q)) == 0)
 
 
 def sufficient(n_evidence: Column, confidence: Column, n_linked: Column, hop_answered: Column) -> Column:
@@ -40,10 +40,10 @@ def sufficient(n_evidence: Column, confidence: Column, n_linked: Column, hop_ans
 
 
 def fallback_plan(analyzed: DataFrame) -> DataFrame:
-    """``qid, subquestions, queries`` where no model plans: "What is X?" for comparands, else the entities."""
+    """``qid, subquestions, queries`` where no model plans: "What is X?" and a query for each comparand, else the entities."""
     things = analyze.comparands(F.col("question"), F.col("entities"))
     subs = F.when(F.col("type") == "COMPARISON", F.transform(things, lambda x: F.concat(F.lit("What is "), x, F.lit("?"))))
-    return analyzed.select("qid", F.coalesce(subs, F.expr("cast(array() as array<string>)")).alias("subquestions"), F.col("entities").alias("queries"))
+    return analyzed.select("qid", F.coalesce(subs, F.expr("cast(array() as array<string>)")).alias("subquestions"), F.when(F.col("type") == "COMPARISON", things).otherwise(F.col("entities")).alias("queries"))
 
 
 def extractive_answer(found: DataFrame) -> DataFrame:

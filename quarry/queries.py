@@ -13,7 +13,8 @@ from .functions import text as tx
 from .functions import vector as vx
 from .functions.stem import stem_vocabulary
 from .operators import analyze, evidence, ingest, link, search, vectors, verify
-from .plans import research, retrieve
+from .plans import dialogue, research, retrieve
+from .sources import results
 from .storage import cut
 from .streaming import incremental
 
@@ -500,3 +501,102 @@ def prompt_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = incremental.event_windows(table(spark, sf_dir, "events"))
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@register("SELECT event_type, s AS start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, unnest([date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts)]) AS s FROM events) GROUP BY ALL")
+def event_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two hours, one begun every hour."""
+    out = incremental.event_windows(table(spark, sf_dir, "events"), size="2 hours", slide="1 hour")
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@register("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = incremental.sessions(table(spark, sf_dir, "events"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@register(rf"""WITH q AS (SELECT item_id AS qid, {o.words("text")} AS w FROM benchmark), s AS (SELECT qid, w, unnest(range(1, 7)) AS n FROM q), p AS (SELECT qid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM s WHERE len(w) >= n),
+g AS (SELECT qid, n, w[i : i + n - 1] AS g FROM p) SELECT DISTINCT qid, array_to_string(g, ' ') AS gram, CAST(n AS INT) AS n FROM g WHERE n > 1 AND g[1] NOT IN {o.STOP} AND g[-1] NOT IN {o.STOP}""")
+def entity_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-grams of two to six words that entity linking looks up."""
+    return link.question_grams(_questions(spark, sf_dir)).filter("n > 1").select("qid", "gram", "n").distinct()
+
+
+# Made-up claims with citations, model outputs and file names.
+CLAIMS = [(1, 0, "Built in 1932 [1]."), (1, 1, "It spans the river [1, 2]."), (1, 2, "Floods come each spring [2-3]."), (2, 0, "The tower has 250 steps [4]."), (2, 1, "No source.")]
+OUTPUTS = [
+    (1, 'Sure: {"type": "comparison", "subquestions": [" How tall is A? ", "B"], "queries": ["a", " "]}'), (2, "no plan"), (3, '{"type": "odd", "queries": ["x y"]}'),
+    (4, "<think>first</think> The answer is 4."), (5, "late thoughts</think> Yes <think>no end"), (6, "plain"),
+]
+FILES = [(1, "Gemma-3n-E2B.gguf"), (2, "nomic-embed-v1.5.gguf"), (3, "qwen3-30b-a3b.gguf"), (4, "some-7b-chat.gguf"), (5, "mmproj-f16.gguf"), (6, "bge-reranker.gguf")]
+
+
+@register(rf"""WITH c AS (SELECT aid, pos, unnest({o.citations("claim")}) AS n FROM {_values(CLAIMS, "aid, pos, claim")}), e AS (SELECT DISTINCT aid, n FROM {_values(PROVEN, "aid, n, title, text")})
+SELECT c.aid AS aid, pos, c.n AS n, e.n IS NOT NULL AS valid FROM c LEFT JOIN e ON e.aid = c.aid AND e.n = c.n""")
+def claims_citation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.cited(spark.createDataFrame(CLAIMS, "aid int, pos int, claim string"), spark.createDataFrame(PROVEN, "aid int, n int, title string, text string"))
+
+
+@register(rf"""WITH d AS (SELECT doc_id, {o.norm_title("text")} AS t FROM documents), i AS (SELECT item_id, {o.norm_title("text")} AS t FROM benchmark),
+f AS (SELECT item_id, count(*) AS n FROM i JOIN d ON contains(' ' || d.t || ' ', ' ' || i.t || ' ') WHERE i.t <> '' GROUP BY 1)
+SELECT item_id, coalesce(n, 0) AS n_evidence, coalesce(n, 0) > 0 AS sufficient FROM i LEFT JOIN f USING (item_id)""")
+def sufficiency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with and without documents that hold them; a document that holds an item counts as a confident source."""
+    n = lenient_match(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_evidence"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id").join(n, "item_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)).cast("long"))
+    return rows.withColumn("sufficient", research.sufficient(F.col("n_evidence"), F.lit(1.0), F.lit(0), F.lit(False)))
+
+
+@register(f"""WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations
+  WHERE role = 'assistant' AND text IS NOT NULL AND NOT regexp_matches(substr(text, 1, 400), '(?i){analyze.ABSTAIN}')) SELECT conv_id, turn, CAST(back AS INT) AS back FROM c WHERE back <= 2""")
+def history_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    return dialogue.history(turns).select("conv_id", "turn", "back")
+
+
+@register("""SELECT * FROM (VALUES (1, 'COMPARISON', 'How tall is A?', 'a'), (2, 'AMBIGUOUS', '', ''), (3, 'AMBIGUOUS', '', 'x y'), (4, 'AMBIGUOUS', '', ''), (5, 'AMBIGUOUS', '', ''), (6, 'AMBIGUOUS', '', '')) t(id, type, subquestions, queries)""")
+def model_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = dialogue.parse_plan(F.col("output"))
+    return spark.createDataFrame(OUTPUTS, "id int, output string").select("id", plan["type"].alias("type"), *(F.array_join(plan[c], "|").alias(c) for c in ("subquestions", "queries")))
+
+
+@register(rf"""WITH x AS (SELECT *, strpos(output, '</think>') AS c, strpos(output, '<think>') AS b FROM {_values(OUTPUTS, "id, output")})
+SELECT id, trim(regexp_replace(CASE WHEN c > 0 AND (b = 0 OR c < b) THEN substr(output, c + 8) ELSE output END, '(?s)<think>.*?(</think>|$)', '', 'g')) AS answer FROM x""")
+def reasoning_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(OUTPUTS, "id int, output string").select("id", tx.strip_reasoning(F.col("output")).alias("answer"))
+
+
+@register("SELECT * FROM (VALUES (1, 'FAST'), (2, 'EMBED'), (3, 'DEEP'), (4, 'STRONG'), (5, NULL), (6, 'EMBED')) t(id, role)")
+def model_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(FILES, "id int, name string").select("id", tx.model_role(F.col("name")).alias("role"))
+
+
+@register("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT *, list_avg(v) AS mu FROM v), z AS (SELECT id, mu, v, sqrt(list_avg(list_transform(v, lambda x: (x - mu) * (x - mu)))) + 1e-5 AS sd FROM m),
+t AS (SELECT id, list_transform(v[1:32], lambda x: (x - mu) / sd) AS t FROM z), n AS (SELECT id, t, sqrt(list_sum(list_transform(t, lambda x: x * x))) AS l FROM t)
+SELECT id, round(t[1] / l, 6) AS first, round(t[32] / l, 6) AS last, round(list_sum(t) / l, 6) AS total FROM n""")
+def vec_matryoshka(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_ = _vectors(spark, sf_dir).select("id", F.inline(F.array(F.struct(vx.matryoshka(F.col("v"), 32, layernorm=True).alias("t")))))
+    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x)
+    return cut_.select("id", F.round(F.get("t", F.lit(0)), 6).alias("first"), F.round(F.get("t", F.lit(31)), 6).alias("last"), F.round(total, 6).alias("total"))
+
+
+@register("SELECT doc_id, md5('search_document: ' || source || ' — ' || lang || chr(10) || substr(coalesce(text, ''), 1, 1200)) AS digest FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").filter("source IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
+    return rows.select("doc_id", F.md5(tx.embedding_text(F.col("source"), F.col("lang"), F.col("text"), "search_document: ")).alias("digest"))
+
+
+@register("SELECT event_id AS id, event_type AS category FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k <= 2")
+def questions_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of each category: the sample is the feature."""
+    return results.select_questions(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("category")), per_category=2)
+
+
+@register()
+def signal_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, terms = _index(spark, sf_dir)
+    held = search.signal_map(retrieve.lexical_lists(index, terms), retrieve.WEIGHTS)
+    return held

@@ -53,3 +53,14 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def lookup(table: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     """Rows of a table whose key is among ``keys``."""
     return table.join(keys.select(col).distinct(), col, "left_semi")
+
+
+def upsert_embedding(spark: SparkSession, path: str, embedding: dict) -> None:
+    """Replaces the ``embedding`` entry of a pack's manifest; its other keys stay as they are."""
+    held = json.loads(spark.read.text(f"{path}/manifest").first()["value"]) | {"embedding": embedding}
+    spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def storage_bytes(spark: SparkSession, path: str) -> int:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
