@@ -75,7 +75,8 @@ class Index:
         """``terms`` has the ``stem`` of every query term there is."""
         self.passages, found = passages, tokens(passages)
         wanted = terms.select("stem").distinct()
-        vocabulary = stem_vocabulary(found).join(wanted, "stem", "left_semi")
+        # written first, so that its size is known: small, it is broadcast to the tokens, which then are not shuffled
+        vocabulary = cut(stem_vocabulary(found).join(wanted, "stem", "left_semi"), "vocabulary")
         row = corpus_stats(passages).first()
         self.n_chunks, self.avg_len = row["n_chunks"], row["avg_len"] or 1.0
         self.places = found.join(vocabulary, "word").select("chunk_id", "len", "col", "weight", "pos", "stem").persist()
@@ -173,6 +174,20 @@ def search_phrase(index: Index, phrases: DataFrame, limit: int = 20, name: str =
     return top(phrase_matches(index, phrases), limit, name)
 
 
+def search_entities(index: Index, phrases: DataFrame, terms: DataFrame, *, limit_and: int = 30, limit: int = 20, others: int = 3) -> DataFrame:
+    """Two lists for each entity of ``phrases(qid, eid, words, stems)``: chunks with the entity as a phrase
+    and any of the question's ``others`` rarest terms outside it (``bm25_ent_and``), and with the phrase
+    alone (``bm25_phrase``).  ``terms`` is the result of ``rarity``."""
+    keyed = phrases.select(F.struct("qid", "eid").alias("key"), "qid", "words", "stems")
+    hits = phrase_matches(index, keyed.select(F.col("key").alias("qid"), "stems"))
+    outside = keyed.join(terms.select("qid", "word", "stem", "rare"), "qid").filter(~F.array_contains("words", F.col("word")))
+    rest = outside.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("rare"))).filter(F.col("k") <= others).select("key", "stem")
+    also = index.contributions().join(F.broadcast(rest), "stem").groupBy(F.col("key").alias("qid"), "chunk_id").agg(F.sum("score").alias("more"))
+    both = hits.join(also, ["qid", "chunk_id"]).select("qid", "chunk_id", (F.col("score") + F.col("more")).alias("score"))
+    lists = top(both, limit_and, "bm25_ent_and").unionByName(top(hits, limit, "bm25_phrase"))
+    return lists.withColumn("qid", F.col("qid.qid"))
+
+
 def search_inside(index: Index, terms: DataFrame, docs: DataFrame, limit: int = 4, name: str = "title_inner") -> DataFrame:
     """The OR hits inside linked documents ``docs(qid, doc_id)``, ``limit`` for each of them."""
     inside = index.passages.select("chunk_id", "doc_id").join(F.broadcast(docs), "doc_id")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ingest, link, search
+from ..functions import text as tx
+from ..functions.stem import stem_arrays
+from ..operators import analyze, ingest, link, search
 from ..storage import cut
 
 WEIGHTS = {"bm25_and": 1.0, "bm25_or": 0.8, "bm25_ent_and": 1.0, "bm25_phrase": 0.5, "title_lead": 1.1, "title_inner": 1.0, "dense": 1.0, "dense_q": 0.6}
@@ -19,18 +21,27 @@ def lexical_lists(index: search.Index, terms: DataFrame) -> DataFrame:
     return every.unionByName(some)
 
 
+def entity_phrases(questions: DataFrame, most: int = 6) -> DataFrame:
+    """``qid, eid, words, stems`` of the first names in each question."""
+    named = analyze.analyze(questions).select("qid", F.posexplode(F.slice("entities", 1, most)).alias("eid", "entity"))
+    return named.select("qid", "eid", tx.words(F.col("entity")).alias("words")).filter(F.size("words") > 0).withColumn("stems", stem_arrays("words"))
+
+
 def retrieve(questions: DataFrame, articles: DataFrame, *, k: int = 10, max_per_doc: int = 2, entities: bool = False, dense: DataFrame | None = None) -> DataFrame:
     """``qid, rank, chunk_id, doc_id, ord, score`` and features, for ``questions(qid, question)``.
 
-    With ``entities`` questions are linked to articles by title, which adds the lead and the best
-    inner passages of each; ``dense(qid, signal, chunk_id, rank, score)`` adds lists of a vector index.
+    With ``entities`` the names in a question are searched as phrases, and questions are linked to
+    articles by title, which adds the lead and the best inner passages of each; ``dense(qid, signal, chunk_id, rank, score)`` adds lists of a vector index.
     """
     passages = ingest.passages(articles)
     terms = search.question_terms(questions)
-    index = search.Index(passages, terms)
+    phrases = cut(entity_phrases(questions), "phrases") if entities else None
+    sought = terms.select("stem") if phrases is None else terms.select("stem").unionByName(phrases.select(F.explode("stems").alias("stem")))
+    index = search.Index(passages, sought)
     lists = lexical_lists(index, terms).withColumn("weight", F.lit(1.0))
     linked = None
-    if entities:
+    if phrases is not None:
+        lists = lists.unionByName(search.search_entities(index, phrases, search.rarity(index, terms)).withColumn("weight", F.lit(1.0)))
         linked = cut(link.link_entities(questions, ingest.title_table(articles), articles.select("doc_id", ingest.prior(ingest.count_all_words(F.col("paras"))).alias("prior"))), "linked")
         lead = linked.select("qid", F.lit("title_lead").alias("signal"), (F.col("doc_id") * ingest.CHUNKS_PER_DOC).alias("chunk_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"), F.col("strength").alias("weight"))
         inner = search.search_inside(index, search.rarity(index, terms).filter("use <= 10"), linked.select("qid", "doc_id"))

@@ -15,7 +15,7 @@ from .functions.stem import stem_vocabulary
 from .operators import analyze, evidence, ingest, link, search, vectors, verify
 from .plans import dialogue, research, retrieve
 from .sources import results
-from .storage import cut
+from .storage import cut, spread
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.articles(table(spark, sf_dir, "documents"))
+    return ingest.articles(spread(table(spark, sf_dir, "documents")))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
@@ -94,12 +94,12 @@ def paragraph_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT word, count(*) AS n FROM (SELECT unnest({o.content('text')}) AS word FROM documents) GROUP BY 1")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(tx.content_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(F.explode(tx.content_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @register(f"WITH vocab AS (SELECT DISTINCT unnest({o.words('text')}) AS word FROM documents), {o.stem_sql('vocab')} SELECT word, stem FROM stems")
 def stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stem_vocabulary(table(spark, sf_dir, "documents").select(F.explode(tx.words(F.col("text"))).alias("word")))
+    return stem_vocabulary(spread(table(spark, sf_dir, "documents")).select(F.explode(tx.words(F.col("text"))).alias("word")))
 
 
 @register(rf"""WITH t AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s*\([\s;,]*\)', '', 'g')) AS title FROM pages),
@@ -136,7 +136,7 @@ g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[
 b AS (SELECT gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 4 ORDER BY n DESC, gram LIMIT 20000)
 SELECT gram, n FROM (SELECT *, sum(octet_length(encode(gram)) + 1) OVER (ORDER BY n DESC, gram) AS used FROM b) WHERE used <= 32768""")
 def zdict_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.ngram_dictionary(table(spark, sf_dir, "documents"))
+    return ingest.ngram_dictionary(spread(table(spark, sf_dir, "documents")))
 
 
 # retrieval
@@ -422,7 +422,7 @@ def lenient_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose words stand in a document in order: a phrase of eight words picks candidates by an
     equi-join, so no document meets items that it does not share a passage with."""
     window = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(8)), " ")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(tx.words(F.col("text")).alias("w")))))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.inline(F.array(F.struct(tx.words(F.col("text")).alias("w")))))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.inline(F.array(F.struct(tx.words(F.col("text")).alias("w"))))).filter(F.size("w") > 0)
     keyed = items.select("item_id", F.array_join("w", " ").alias("t"), F.xxhash64(F.array_join(F.slice("w", 1, 8), " ")).alias("key"), F.size("w").alias("n"))
     found = docs.filter(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(window(F.col("w")))).alias("key")).join(keyed.filter("n >= 8").select("item_id", "t", "key"), "key")

@@ -25,3 +25,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes for each task slot up to which a scan of few files is dealt out anew.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few, small files dealt over all task slots; any other table as it is.
+
+    A row group is read by one task, so a small file with one row group would keep all
+    later work on its rows in one task.  The shuffle moves ``SPREAD_BYTES`` for each slot
+    at most: tables beyond that have row groups enough and are never shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if size <= SPREAD_BYTES * slots and len(df.inputFiles()) < slots else df

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from quarry.__main__ import main
 from quarry.functions import text as tx
 from quarry.functions import vector as vx
-from quarry.operators import analyze, vectors, verify
-from quarry.plans import dialogue, research
+from quarry.operators import analyze, ingest, search, vectors, verify
+from quarry.plans import dialogue, research, retrieve
 from quarry.sources import foreign, results
 
 
@@ -128,3 +128,20 @@ def test_results_and_command_line(spark, tmp_path, capsys):
     main(["info", "--pack", f"{tmp_path}/pack"], spark)
     main(["retrieve", f"{tmp_path}/docs", "--question", "Where is the salt sea?", "--k", "2"], spark)
     assert "tiny" in capsys.readouterr().out
+
+
+def test_entity_lists(spark):
+    docs = [(1, "Castles\nThe Iron Tower stands on a hill."), (2, "Metals\nIron is a metal. A tower of salt."), (3, "Hills\nThe hill is green."), (4, "Old\nThey saw the iron tower once.")]
+    rows = ingest.articles(spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = spark.createDataFrame([(7, "Where does the Iron Tower stand on a hill?")], "qid int, question string")
+    phrases, terms, passages = retrieve.entity_phrases(asked), search.question_terms(asked), ingest.passages(rows)
+    assert [r["words"] for r in phrases.collect()] == [["iron", "tower"]]
+    index = search.Index(passages, terms)
+    got = search.search_entities(index, phrases, search.rarity(index, terms, share=2.0, min_df=1))
+    texts = {r["chunk_id"]: r["doc_id"] for r in passages.collect()}
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["signal"], set()).add(texts[r["chunk_id"]])
+        assert r["qid"] == 7
+    assert found == {"bm25_phrase": {1, 4}, "bm25_ent_and": {1}}
+    assert retrieve.retrieve(asked, rows, k=2, entities=True).filter("rank = 1").first()["doc_id"] == 1
