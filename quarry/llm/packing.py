@@ -18,7 +18,7 @@ No task sees more than its partition, and a length that a third of all pieces
 have is not gathered anywhere.
 
 Tokens.  Text is split at blanks, which the tokenizer drops and never joins
-across; each distinct chunk is encoded once per worker and the ids are gathered by
+across, and before marks that end a word; chunks that differ only in ASCII case are one; each distinct chunk is encoded once per worker and the ids are gathered by
 numpy, so repeated words cost a table lookup.
 
 Defined cases.  Null and empty texts are documents of the end token alone.
@@ -48,6 +48,24 @@ _CHUNK[[9, 10, 13, 32]] = False
 #: The tokenizer's own split, for ASCII in lower case.
 _ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _PRINTABLE = re.compile(rb"[!-~]+")
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b",.;:!?)")] = True
+_ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+
+
+def split_marks(data: np.ndarray, w: tb.Words) -> tb.Words:
+    """Chunks that end in up to three marks after an ASCII letter or digit become two: the tokenizer
+    splits there in any case, and words repeat more often without their marks."""
+    cut = w.end.copy()
+    for _ in range(3):
+        cut -= (cut - 1 > w.start) & _MARK[data[cut - 1]]
+    two = (cut < w.end) & _ALNUM[data[cut - 1]]
+    added = np.concatenate([[0], np.cumsum(two)])
+    at = np.arange(len(cut)) + added[:-1]
+    start, end = np.empty((2, len(cut) + added[-1]), np.int64)
+    start[at], end[at] = w.start, np.where(two, cut, w.end)
+    start[at[two] + 1], end[at[two] + 1] = cut[two], w.end[two]
+    return tb.Words(start, end, w.hash, w.rows + added[w.rows])
 
 
 class ChunkTokenizer:
@@ -68,6 +86,9 @@ class ChunkTokenizer:
         hard = []
         model, parts = self.tokenizer.model, self.parts
         for i, chunk in enumerate(chunks):
+            if chunk.isalpha():  # ASCII letters: one part, which the caller keeps by its chunk
+                out.append([t.id for t in model.tokenize(chunk.decode().lower())])
+                continue
             if not _PRINTABLE.fullmatch(chunk) or b"<|" in chunk:  # not plain ASCII, or a special token
                 hard.append(i)
                 out.append([])
@@ -86,11 +107,15 @@ class ChunkTokenizer:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, END after each row, and the rows' bounds in them."""
-        w = tb.find_words(data, offsets, _CHUNK, hashes=False)
+        w = split_marks(data, tb.find_words(data, offsets, _CHUNK, hashes=False))
         n_rows = len(offsets) - 1
         unit = np.zeros(len(w.start) + n_rows, np.int64)  # the chunks of each row and its end; 0: the end
         if len(w.start):
-            h = tb.span_hash(tb.prefix_hashes(data, tb._CODE), w.start, w.end)
+            # the tokenizer lower-cases all but special tokens: only chunks with "<" are told apart by case
+            h = tb.span_hash(tb.prefix_hashes(data), w.start, w.end)
+            special = np.flatnonzero(np.diff(np.cumsum(np.concatenate([[0], data == ord("<")]))[np.stack([w.start, w.end])], axis=0)[0])
+            if len(special):
+                h[special] = tb.span_hash(tb.prefix_hashes(data, tb._CODE), w.start[special], w.end[special]) ^ np.uint64(1)
             u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             if len(self.known) > _CACHE:
                 self.known, self.parts, self.used = {}, {}, 0
