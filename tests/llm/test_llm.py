@@ -283,3 +283,16 @@ def test_pipeline_stages(spark, tmp_path):
     left = {r["doc_id"] for r in out}
     assert left == {i for i in range(200) if i % 4} | {503}
     assert zlib.crc32(b"") == 0 and all(r["length"] > 0 for r in out)
+
+
+def test_chunks_have_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello, World... hello WORLD!? (see a.b.c), it's 'tis don't!", "<|endoftext|> <|ENDOFTEXT|>. x<|endoftext|>y, a;b:c 12,345.67), wait....", "größe, Größe! É. café́, “quoted,” ;", "", "!!! ,. a", "İ, KK."]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    ids, bounds = packing.ChunkTokenizer(path).encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    whole = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*whole.encode(t, add_special_tokens=False).ids, packing.END]
