@@ -1,6 +1,9 @@
 """License scans: normalised text compared to licence templates by the Dice coefficient over word bigrams.
 
-Units are a document's lines and, if it has several, the document as a whole.  A
+Units are a document's lines, if it has several the document as a whole, and
+windows: any run of the document's words, across lines or inside one, of at most
+the most bigrams that can reach the threshold.  A window counts where no line or
+document matches the same template; of windows that overlap the best counts.  A
 unit is put in lower case, everything but ASCII letters and digits becomes one
 blank, and the set of its word bigrams is compared to each template's:
 ``dice = 2 * common / (unit + template)``.
@@ -13,8 +16,11 @@ cannot miss all of a template's ``anchors``, its first bigrams in an order that
 puts those with common words last; a hashed look-up of anchors inside the scan
 leaves few units, and only these are compared.
 
-Scale.  DataFrame functions only; a map-only scan, then a broadcast join with the
-anchors, whose number is checked (``MAX_ANCHORS``), then one row per document
+Windows are looked for in blocks of words around anchors, from each bigram of the
+template that has enough others behind it to the best end.
+
+Scale.  DataFrame functions only; a map-only scan, broadcasts of the anchors, whose
+number is checked (``MAX_ANCHORS``), and of the templates, then one row per document
 that has a match.  No group is gathered but a document's own matches.
 
 Defined cases.  Null and empty texts, and units of one word, match nothing.
@@ -28,7 +34,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -87,39 +93,115 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Matches: ``doc_id, line`` (from 1; 0 for the whole document), ``template, dice``; one row for
-    each unit and template that reach the threshold."""
+    """Matches: ``doc_id, line, word, template, dice``; one row for each unit and template that reach the threshold.
+
+    ``line`` is from 1, 0 for the whole document and -1 for a window; ``word`` is the unit's first word in the document, from 1.
+    """
     spark = docs.sparkSession
-    made = {name: bigrams(text) for name, text in (templates or TEMPLATES).items()}
+    full = templates or TEMPLATES
+    made = {name: bigrams(text) for name, text in full.items()}
     made = {name: own for name, own in made.items() if own}
     if not made:
         raise ValueError("no template has two words")
     anchors = [(b, name) for name, own in made.items() for b in anchors_of(own, threshold)]
     if len(anchors) > MAX_ANCHORS:
         raise ValueError(f"{len(anchors)} anchors are too many to broadcast")
-    bounds = [size_bounds(len(own), threshold) for own in made.values()]
-    low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
+    low, high = zip(*(size_bounds(len(own), threshold) for own in made.values()))
+    low, high = min(low), max(high)
+    reach = {name: size_bounds(len(re.sub("[^a-z0-9]+", " ", full[name].lower()).split()) - 1, threshold)[1] for name in made}
+    names = sorted({b for b, _ in anchors})
+    known = spark.createDataFrame(
+        [({b: [(n, reach[n]) for a, n in anchors if a == b] for b in names},)], "known map<string, array<struct<template: string, reach: int>>>"
+    )
+    table = spark.createDataFrame([(n, own, len(own), *size_bounds(len(own), threshold), reach[n]) for n, own in made.items()], "template string, other array<string>, size int, low int, high int, reach int")
+
     text = F.col(text_col)
-    lines = F.split(text, "\n")
-    units = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.split(normalise(x), " ").alias("w")))
-    whole = F.struct(F.lit(0).alias("line"), F.split(normalise(text), " ").alias("w"))
-    more = F.when(F.size(lines) > 1, F.array(whole)).otherwise(F.array_remove(F.array(whole), whole))
     # inline() also keeps the optimiser from copying what makes its columns into each later use
-    words = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.inline(F.concat(units, more)))
-    # n words have n - 1 bigrams at most, and at least as many distinct ones as they have distinct words, less one
-    words = words.filter((F.size("w") > low) & (F.size(F.array_distinct("w")) <= high + 1))
-    n = F.size("w") - 1
-    made_pairs = F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda x, y: F.concat_ws(" ", x, y))
-    names = sorted({b for b, _ in anchors})
-    found = words.select("doc_id", "line", F.inline(F.array(F.struct(made_pairs.alias("pairs"))))).filter(F.exists("pairs", lambda b: b.isin(names)))
-    found = found.withColumn("hit", F.array_distinct(F.filter("pairs", lambda b: b.isin(names))))
-    found = found.select("doc_id", "line", "hit", F.array_distinct("pairs").alias("own")).filter(F.size("own").between(low, high))
-    anchor_rows = spark.createDataFrame([(b, n, made[n], len(made[n]), *size_bounds(len(made[n]), threshold)) for b, n in anchors], "anchor string, template string, other array<string>, size int, low int, high int")
-    met = found.withColumn("anchor", F.explode("hit")).join(F.broadcast(anchor_rows), "anchor")
-    candidates = met.filter(F.size("own").between(F.col("low"), F.col("high")))
-    common = F.size(F.array_intersect("own", "other"))
-    dice = 2 * common / (F.size("own") + F.col("size"))
-    return candidates.select("doc_id", "line", "template", dice.alias("dice")).filter(F.col("dice") >= threshold - 1e-12).distinct()
+    held = lambda df, keep, **made: df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
+    split = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+    split = held(split, ["doc_id", "row", "text"], w=F.split(normalise(F.col("text")), " "))
+    split = held(split.filter(F.size("w") > low), ["doc_id", "row", "text"], pairs=_pairs(F.col("w")))
+    # every unit's bigrams are bigrams of its document
+    split = split.filter(F.exists("pairs", lambda b: b.isin(names)))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.filter(F.split(normalise(x), " "), lambda y: y != ""))
+    split = held(split, ["doc_id", "row", "pairs"], lines=lines, at=F.filter(F.sequence(F.lit(1), F.size("pairs")), lambda i: F.get("pairs", i - 1).isin(names)))
+    firsts = F.aggregate("lines", F.array(F.lit(1)), lambda n, x: F.concat(n, F.array(F.element_at(n, -1) + F.size(x))))
+    split = held(split, ["doc_id", "row", "pairs", "lines", "at"], firsts=firsts).crossJoin(F.broadcast(known))
+
+    empty = F.lit(None).cast("string")
+    # `skip`: a unit's last word, or the words before a window's blocks
+    unit = lambda line, word, own, last: F.struct(line.alias("line"), word.alias("word"), empty.alias("template"), own.alias("own"), last.alias("skip"))
+    units = F.transform("lines", lambda x, i: unit(i + 1, F.get("firsts", i), _pairs(x), F.get("firsts", i) + F.size(x) - 1))
+    whole = F.filter(F.array(unit(F.lit(0), F.lit(1), F.col("pairs"), F.size("pairs") + 1)), lambda u: F.size("lines") > 1)
+    # a window of at most `reach` bigrams with an anchor in block q lies in blocks q - 1 to q + 1
+    blocks = F.array_distinct(F.flatten(F.transform("at", lambda i: F.transform(F.element_at("known", F.get("pairs", i - 1)), lambda t: F.struct(t["template"].alias("template"), t["reach"].alias("reach"), F.floor((i - 1) / t["reach"]).cast("int").alias("block"))))))
+    windows = F.transform(
+        blocks,
+        lambda t: F.struct(
+            F.lit(-1).alias("line"), F.lit(0).alias("word"), t["template"].alias("template"),
+            F.slice("pairs", F.greatest((t["block"] - 1) * t["reach"], F.lit(0)) + 1, 3 * t["reach"]).alias("own"), F.greatest((t["block"] - 1) * t["reach"], F.lit(0)).alias("skip"),
+        ),
+    )
+    rows = split.select("doc_id", "row", F.inline(F.concat(F.filter(units, lambda u: F.exists(u["own"], lambda b: b.isin(names))), whole, windows)))
+    own = F.when(F.col("line") < 0, F.col("own")).otherwise(F.array_distinct("own"))
+    rows = held(rows, ["doc_id", "row", "line", "word", "template", "skip"], own=own).filter((F.col("line") < 0) | F.size("own").between(low, high))
+    hit = F.when(F.col("line") < 0, F.array("template")).otherwise(
+        F.array_distinct(F.flatten(F.transform(F.filter("own", lambda b: b.isin(names)), lambda b: F.transform(F.element_at("known", b), lambda t: t["template"]))))
+    )
+    rows = rows.crossJoin(F.broadcast(known)).select("doc_id", "row", "line", "word", "skip", "own", F.explode(hit).alias("template")).join(F.broadcast(table), "template")
+    rows = rows.filter((F.col("line") < 0) | F.size("own").between(F.col("low"), F.col("high")))
+
+    # units as they are; of windows, every start at a bigram of the template with its best end
+    keep = ["doc_id", "row", "line", "word", "skip", "template", "size"]
+    ordered = F.when(F.col("line") < 0, F.array_sort(F.transform("own", lambda b, i: F.struct(b.alias("b"), i.alias("i")))))
+    common = F.when(F.col("line") >= 0, F.size(F.array_intersect("own", "other")))
+    rows = held(rows, [*keep, "low", "other", "reach"], n=F.size("own"), common=common, ordered=ordered)
+    before = lambda x, k: F.when((k > 0) & (F.get("ordered", k - 1)["b"] == x["b"]), F.get("ordered", k - 1)["i"]).otherwise(-1)
+    places = F.array_sort(F.transform("ordered", lambda x, k: F.struct(x["i"].alias("i"), before(x, k).alias("before"), F.array_contains("other", x["b"]).alias("hit"))))
+    rows = held(rows, [*keep, "low", "reach", "n", "common"], places=places)
+    rows = held(rows, [*keep, "low", "reach", "n", "common", "places"], hits=F.transform(F.filter("places", lambda x: x["hit"]), lambda x: x["i"]))
+    starts = F.filter("hits", lambda s, k: (s < 2 * F.col("reach")) & (F.get("hits", k + F.col("low") - 1) - s < F.col("reach")))
+    tried = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("places", s + 1, F.col("reach")).alias("seq")))
+    rows = rows.select(*keep, "n", "common", F.explode(F.when(F.col("line") < 0, tried).otherwise(F.array(F.lit(None).cast("struct<s:int,seq:array<struct<i:int,before:int,hit:boolean>>>")))).alias("x"))
+    fresh = lambda x: x["before"] < F.col("x.s")
+
+    def step(n: Column, x: Column) -> Column:
+        a, c = n["a"] + fresh(x).cast("int"), n["c"] + (fresh(x) & x["hit"]).cast("int")
+        d = 2 * c / (a + F.col("size"))
+        better = x["hit"] & (d > n["d"])
+        return F.struct(a.alias("a"), c.alias("c"), F.when(better, d).otherwise(n["d"]).alias("d"), F.when(better, x["i"]).otherwise(n["e"]).alias("e"))
+
+    zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("c"), F.lit(0.0).alias("d"), F.lit(0).alias("e"))
+    rows = held(rows, [*keep, "n", "common", "x"], best=F.when(F.col("line") < 0, F.aggregate("x.seq", zero, step)))
+    is_window = F.col("line") < 0
+    rows = rows.select(
+        "doc_id", "row", "line", "template", F.when(is_window, F.col("skip") + F.col("x.s") + 1).otherwise(F.col("word")).alias("word"),
+        F.when(is_window, F.col("skip") + F.col("best.e") + 2).otherwise(F.col("skip")).alias("last"), F.when(is_window, F.col("best.d")).otherwise(2 * F.col("common") / (F.col("n") + F.col("size"))).alias("dice"),
+    ).filter(F.col("dice") >= threshold - 1e-12).distinct()
+    return _apart(rows)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Units, and of the windows of a template those that meet no unit of it, the better one (then the shorter, then the first) where two overlap."""
+    keys = ["doc_id", "row", "template"]
+    by = Window.partitionBy(*keys).orderBy("word")
+    is_unit = F.col("line") >= 0
+    reached = F.max(F.when(is_unit, F.col("last"))).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(is_unit, F.col("word"))).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    free = F.coalesce(F.col("reached") < F.col("word"), F.lit(True)) & F.coalesce(F.col("ahead") > F.col("last"), F.lit(True))
+    rows = rows.select("*", reached.alias("reached"), ahead.alias("ahead")).filter(is_unit | free)
+    match = F.struct((-F.col("dice")).alias("worse"), (F.col("last") - F.col("word")).alias("longer"), "word", "last", "line", "dice")
+    lists = rows.groupBy(*keys).agg(F.collect_list(F.when(is_unit, match)).alias("units"), F.array_sort(F.collect_list(F.when(~is_unit, match))).alias("windows"))
+    meets = lambda x, y: (x["word"] <= y["last"]) & (y["word"] <= x["last"])
+    chosen = F.aggregate("windows", F.slice("windows", 1, 0), lambda n, x: F.when(F.exists(n, lambda y: meets(x, y)), n).otherwise(F.concat(n, F.array(x))))
+    out = lists.select("doc_id", "template", F.inline(F.concat("units", chosen)))
+    return out.select("doc_id", "line", "word", "template", "dice").distinct()
+
+
+def _pairs(w: Column) -> Column:
+    # words that are not there give no bigram
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat_ws(" ", x, y))
 
 
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -269,6 +270,21 @@ def test_licences(spark):
     assert all(got[i]["n_matches"] == 0 for i in (3, 4, 5, 7))
 
 
+def test_licences_wrapped_and_embedded(spark):
+    code = "\n".join(f"x{i} = f{i}(y{i}, {i})" for i in range(60))
+    names = ["MIT", "BSD-3-Clause", "ISC", "GPL-2.0-header", "GPL-3.0-header", "Apache-2.0-header"]
+    rows = [(i, "\n".join("# " + x for x in textwrap.wrap(licenses.TEMPLATES[n], 74)) + "\n" + code) for i, n in enumerate(names)]
+    rows += [(10, "Copyright 2020 Foo Inc. All rights reserved."), (11, "We wrote this in spring. Released under the MIT License. Enjoy it and tell others of it."), (12, code)]
+    rows += [(13, "Released under the MIT License.\n" + code + "\nsome words, then released under\nthe MIT license, and more words"), (14, "\n".join(textwrap.wrap((licenses.TEMPLATES["ISC"] + " ") * 3, 74)) + "\n" + code)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.licences(frame).collect()}
+    assert all(n in got[i]["licences"] for i, n in enumerate(names)) and all(got[i]["best_dice"] > 0.99 for i in range(len(names)))
+    assert got[10]["licences"] == ["all-rights-reserved"] and got[11]["licences"] == ["MIT-line"] and got[11]["best_dice"] == 1 and got[12]["n_matches"] == 0
+    assert got[13]["n_matches"] == 2 and got[14]["n_matches"] == 3
+    at = licenses.scan(frame.filter("doc_id = 13")).orderBy("word").select("line", "word").collect()
+    assert at[0][0] == 1 and at[0][1] == 1 and at[1][0] == -1 and at[1][1] == 5 + len(re.findall("[a-z0-9]+", code)) + 4
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
