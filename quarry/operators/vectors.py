@@ -16,12 +16,22 @@ from pyspark.sql import functions as F
 from ..functions import vector as vx
 
 NPROBE, RERANK, SAMPLE, ROUNDS = 24, 400, 200_000, 12
+#: Parts of the lists and of the vectors with which recall@10 is over 0.9 on spread-out vectors at every size measured (README).
+PROBE_SHARE, RERANK_SHARE = 0.75, 0.4
 
 
 def list_count(n: int) -> int:
     return max(1, min(65_536, n, round(2 * math.sqrt(n))))
 
 
+def effort(n: int, nlist: int, *, probe_share: float = PROBE_SHARE, rerank_share: float = RERANK_SHARE) -> dict[str, int]:
+    """``nprobe`` and ``rerank`` of ``search`` as parts of ``nlist`` lists and ``n`` vectors, the reference's at least.
+
+    With parts of 1 every vector is rescored: exact but for the 8-bit values.
+    """
+    return {"nprobe": max(NPROBE, math.ceil(probe_share * nlist)), "rerank": max(RERANK, math.ceil(rerank_share * n))}
+
+
 def train_centroids(vectors: DataFrame, nlist: int, *, id_col: str = "id", vec_col: str = "v", sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """``list_id, c`` by spherical k-means over at most ``sample`` vectors, those with the smallest id hashes."""
     rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vx.l2_normalise(vx.doubles(F.col(vec_col))).alias("v")).toArrow()["v"].to_pylist()
@@ -64,7 +74,10 @@ def probe(queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE) -> Dat
 
 
 def search(queries: DataFrame, index: DataFrame, centroids: DataFrame, dim: int, *, k: int = 10, nprobe: int = NPROBE, rerank: int = RERANK) -> DataFrame:
-    """``qid, id, rank, score`` for ``queries(qid, v)``."""
+    """``qid, id, rank, score`` for ``queries(qid, v)``.
+
+    The defaults are the reference's; they lose much on spread-out vectors, see ``effort``.
+    """
     coded = queries.select("qid", vx.sign_code(vx.doubles(F.col("v")), dim).alias("qcode"))
     lists = probe(queries, centroids, nprobe).join(coded, "qid")
     met = index.select("list_id", "id", "code").join(F.broadcast(lists), "list_id")

@@ -282,9 +282,11 @@ def ivf_assign_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    centroids = vectors.train_centroids(rows, vectors.list_count(rows.count()))
+    n = rows.count()
+    nlist = vectors.list_count(n)
+    centroids = vectors.train_centroids(rows, nlist)
     index = vectors.encode(rows, vectors.assign(rows, centroids), 64)
-    return vectors.search(_vector_questions(spark, sf_dir), index, centroids, 64)
+    return vectors.search(_vector_questions(spark, sf_dir), index, centroids, 64, **vectors.effort(n, nlist))
 
 
 # questions, answers, benchmark

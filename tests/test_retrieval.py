@@ -1,5 +1,6 @@
 import sqlite3
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.operators import analyze, evidence, ingest, search, vectors, verify
@@ -107,3 +108,20 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
         spark.createDataFrame([d], schema).write.mode("append").parquet(f"{tmp_path}/in")
         incremental.ingest_new_files(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/out").select("doc_id").distinct().count() == i + 1
+
+
+def test_vector_search_recall(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    nlist = vectors.list_count(len(x))
+    centroids = vectors.train_centroids(rows, nlist)
+    index = vectors.encode(rows, vectors.assign(rows, centroids), 64)
+    asked = rows.filter("id % 20 = 0").withColumnRenamed("id", "qid")
+    truth = {q: set(np.argsort(-(x @ x[q]))[:10].tolist()) for q in range(0, len(x), 20)}
+    for shares, least in (({}, 0.9), ({"probe_share": 1, "rerank_share": 1}, 0.97)):
+        found = {}
+        for r in vectors.search(asked, index, centroids, 64, **vectors.effort(len(x), nlist, **shares)).collect():
+            found.setdefault(r["qid"], set()).add(r["id"])
+        assert sum(len(truth[q] & found[q]) for q in truth) >= least * 10 * len(truth)
