@@ -9,9 +9,10 @@ and the words under verified windows are marked.
 
 Scale.  The scan neither shuffles nor collects documents.  What is broadcast is
 the benchmark, whose size is checked: items are dealt into blocks of at most
-``max_windows`` windows, each block is broadcast by itself, and the marks of
-several blocks are united per document.  One block (the usual case) needs no
-shuffle at all.
+``max_windows`` windows, and each block is broadcast by itself.  Before the last
+block, rows and what earlier blocks marked in them go to spark.checkpoint.dir, so
+that a worker holds one block; all blocks see the original text, and the result
+is that of one block.  No block needs a shuffle.
 
 Defined cases.  Null and empty texts have no words: 0 words, 0 hits, not
 contaminated.  Null item texts give no window; repeated item rows count once.
@@ -27,11 +28,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from . import textbytes as tb
-from .shared import lean
+from .shared import drop_stash, lean, stash
 
 WINDOW = 13
 #: Windows of one broadcast block: about 200 MB at 100 bytes each.
@@ -74,8 +77,8 @@ class WindowSet:
             # equal hashes of different windows stay side by side; verification tells them apart
             self.sets.append((k, hashes[order], [texts[i] for i in order], [sorted(windows[texts[i]]) for i in order], seen, np.uint64((1 << bits) - 1)))
 
-    def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[int], list[str], list[dict]]]:
-        """Per row: number of words, hit word numbers, items, byte spans of hit runs."""
+    def scan(self, data: np.ndarray, offsets: np.ndarray, before: list[dict] | None = None) -> Iterator[tuple[int, int, list[int], list[str], list[dict]]]:
+        """Per row: number of words, hit word numbers, items, byte spans of hit runs; with the words and items that ``before`` has for it."""
         w = tb.find_words(data, offsets)
         n_words = np.diff(w.rows)
         hits: dict[int, list[tuple[int, int, list[str]]]] = {}
@@ -93,21 +96,22 @@ class WindowSet:
                 hits.setdefault(r, []).append((int(maybe[j] - bounds[r]), k, int(lo[j]), int(hi[j]), texts, owners))
         folded = None
         for r in range(len(n_words)):
-            if r not in hits:
+            old = before[r] if before else {"words": [], "items": []}
+            if r not in hits and not old["words"]:
                 yield r, int(n_words[r]), [], [], []
                 continue
             if folded is None:
                 folded = tb.fold_ascii(data)
             words = _WORDS.findall(folded[offsets[r] : offsets[r + 1]].tobytes())
-            marked, items = np.zeros(len(words) + 1, np.int64), set()
-            for at, k, lo, hi, texts, owners in hits[r]:
+            marked, items = np.zeros(len(words) + 1, np.int64), set(old["items"])
+            for at, k, lo, hi, texts, owners in hits.get(r, []):
                 own = b" ".join(words[at : at + k])
                 for i in range(lo, hi):
                     if texts[i] == own:
                         marked[at] += 1
                         marked[at + k if at + k < len(words) else -1] -= 1
                         items.update(owners[i])
-            hit = np.flatnonzero(np.cumsum(marked[:-1]) > 0)
+            hit = np.union1d(np.flatnonzero(np.cumsum(marked[:-1]) > 0), np.array(old["words"], np.int64))
             runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else []
             first, base = w.rows[r], offsets[r]
             spans = [{"start": int(w.start[first + x[0]] - base), "end": int(w.end[first + x[-1]] - base)} for x in runs]
@@ -142,34 +146,55 @@ def find_contamination(
 
     ``spans`` are UTF-8 byte ranges of the hit words, ``item_ids`` the items with
     a window in the document, as sorted strings.  A document is contaminated if
-    hit words are at least ``min_share`` of its words.  Rows are told apart by
-    ``id_col`` only if the benchmark needs several blocks.
+    hit words are at least ``min_share`` of its words.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = _HITS.replace("doc_id long", f"doc_id {base.schema['doc_id'].dataType.simpleString()}")
-    found = []
-    for items in _blocks(benchmark, item_col, item_text_col, n, max_windows):
-        held = spark.sparkContext.broadcast(WindowSet(items, n))
-        found.append(base.mapInArrow(lean(_scanner(held)), schema))
-    if len(found) == 1:
-        out = found[0].withColumn("n_hit", F.size("hit_words").cast("long"))
-    else:
-        both = found[0]
-        for x in found[1:]:
-            both = both.unionByName(x)
-        # each block sees the same words: the united word numbers are at most the document's length
-        out = both.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        ).withColumn("n_hit", F.size("hit_words").cast("long"))
+    base, held = _all_but_last(base, 1, _blocks(benchmark, item_col, item_text_col, n, max_windows), n)
+    out = base.mapInArrow(lean(_scanner(held)), schema).withColumn("n_hit", F.size("hit_words").cast("long"))
     least = Fraction(str(min_share))  # compared in integers
     share = F.col("n_hit") * least.denominator >= F.col("n_words") * least.numerator
     return out.select("doc_id", "n_words", "n_hit", "item_ids", "spans", ((F.col("n_hit") > 0) & share).alias("contaminated"))
 
 
+_BEFORE = "__hits_before"
+_BEFORE_TYPE = StructType().add("words", ArrayType(IntegerType())).add("items", ArrayType(StringType()))
+_BEFORE_ARROW = pa.struct([("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+
+
+def _all_but_last(docs: DataFrame, at: int, blocks: Iterator[list[tuple[str, str]]], n: int) -> tuple[DataFrame, Broadcast]:
+    """The rows with the marks of all blocks but the last (a column more, if there are several), and the last block."""
+    frame, schema, held = docs, StructType([*docs.schema.fields]).add(_BEFORE, _BEFORE_TYPE), None
+    for items in blocks:
+        if held is not None:
+            marked = stash(frame.mapInArrow(lean(_marker(held, at, docs.columns)), schema), "decontaminate")
+            if frame is not docs:
+                drop_stash(frame)
+            held.unpersist()
+            frame = marked
+        held = docs.sparkSession.sparkContext.broadcast(WindowSet(items, n))
+    return frame, held
+
+
+def _hits_before(batch: pa.RecordBatch, lo: int, hi: int) -> list[dict] | None:
+    at = batch.schema.get_field_index(_BEFORE)
+    return batch.column(at).slice(lo, hi - lo).to_pylist() if at >= 0 else None
+
+
+def _marker(held, at: int, cols: list[str]):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: WindowSet = held.value
+        for batch in batches:
+            data, offsets = tb.buffer(batch.column(at))
+            marks = []
+            for lo, hi in tb.pieces(offsets):
+                rows = windows.scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], _hits_before(batch, lo, hi))
+                marks += [{"words": x[2], "items": x[3]} for x in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(marks, _BEFORE_ARROW)], [*cols, _BEFORE])
+
+    return mark
+
+
 def _scanner(held):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: WindowSet = held.value
@@ -177,7 +202,7 @@ def _scanner(held):
             data, offsets = tb.buffer(batch.column(1))
             ids = batch.column(0)
             for lo, hi in tb.pieces(offsets):
-                rows = list(windows.scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                rows = list(windows.scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], _hits_before(batch, lo, hi)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
@@ -207,38 +232,29 @@ def clean(
     """The documents without those that are contaminated and, in the others, without the
     hit words and what stands between them; all columns stay.
 
-    Map-only if the benchmark is one block.  With several, contaminated documents are
-    found first and leave by an anti-join on the id, then each block cuts its spans.
+    Spans of all blocks are found on the original text and cut once.
     """
-    spark, cols, share = docs.sparkSession, docs.columns, Fraction(str(min_share))
+    cols, share = docs.columns, Fraction(str(min_share))
     at = cols.index(text_col)
-    held = [spark.sparkContext.broadcast(WindowSet(b, n)) for b in _blocks(benchmark, item_col, item_text_col, n, max_windows)]
-    drop = len(held) == 1
-    if not drop:
-        found = find_contamination(
-            docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, n=n, min_share=min_share, max_windows=max_windows
-        )
-        bad = found.filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        docs = docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
-    for block in held:
-
-        def cut(batches, block=block):
-            for batch in batches:
-                texts = batch.column(at)
-                data, offsets = tb.buffer(texts)
-                out, kept = [], []
-                for lo, hi in tb.pieces(offsets):
-                    o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
-                    for r, n_words, hit, _, spans in block.value.scan(d, o):
-                        kept.append(not (drop and hit and len(hit) * share.denominator >= n_words * share.numerator))
-                        raw, rest, last = d[o[r] : o[r + 1]].tobytes(), [], 0
-                        for s in spans:
-                            rest.append(raw[last : s["start"]])
-                            last = s["end"]
-                        out.append(b"".join([*rest, raw[last:]]).decode() if texts[lo + r].is_valid else None)
-                arrays = [*batch.columns]
-                arrays[at] = pa.array(out, texts.type)
-                yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(kept, pa.bool_()))
-
-        docs = docs.mapInArrow(lean(cut), docs.schema)
-    return docs
+    marked, held = _all_but_last(docs, at, _blocks(benchmark, item_col, item_text_col, n, max_windows), n)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: WindowSet = held.value
+        for batch in batches:
+            texts = batch.column(at)
+            data, offsets = tb.buffer(texts)
+            out, kept = [], []
+            for lo, hi in tb.pieces(offsets):
+                o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
+                for r, n_words, hit, _, spans in windows.scan(d, o, _hits_before(batch, lo, hi)):
+                    kept.append(not (hit and len(hit) * share.denominator >= n_words * share.numerator))
+                    raw, rest, last = d[o[r] : o[r + 1]].tobytes(), [], 0
+                    for s in spans:
+                        rest.append(raw[last : s["start"]])
+                        last = s["end"]
+                    out.append(b"".join([*rest, raw[last:]]).decode() if texts[lo + r].is_valid else None)
+            arrays = [*batch.columns[: len(cols)]]
+            arrays[at] = pa.array(out, texts.type)
+            yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(kept, pa.bool_()))
+
+    return marked.mapInArrow(lean(cut), docs.schema)

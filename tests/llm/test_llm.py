@@ -130,6 +130,24 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(frame, bench.limit(0)).filter("n_hit > 0 or contaminated").count() == 0
 
 
+def test_decontamination_in_blocks_equals_one_block(spark):
+    rng = random.Random(11)
+    long = [f"{w}{i}" for i, w in enumerate(_text(rng, 37).split())]
+    inner, short, other = " ".join(long[12:25]), "zig zag", _text(rng, 40)
+    bench = spark.createDataFrame([("a", inner), ("b", " ".join(long)), ("c", short), *((f"x{i}", _text(rng, 30)) for i in range(6))], "item_id string, text string")
+    # item b with a's words in it; words that meet as item c only after a cut; runs that touch
+    texts = ["{0} {1} {0}", "{0} zig {2} zag {0}", "{0} zig zag {1} {0}", "{0} {2} " + other + " {0}"]
+    rows = [(i if i else None, t.format(_text(rng, 500), " ".join(long), inner), "k") for i, t in enumerate(texts)]
+    rows += [(7, rows[0][1], "first"), (7, _text(rng, 50), "second"), (7, None, "third"), (None, "plain", "k"), (9, " ".join(long), "k")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    sizes = sum(1 for _ in decontaminate._blocks(bench, "item_id", "text", 13, 30))
+    ask = lambda f, limit: sorted(map(repr, f(frame, bench, max_windows=limit).collect()))
+    assert sizes > 3
+    for f in (decontaminate.find_contamination, decontaminate.clean):
+        assert ask(f, 30) == ask(f, decontaminate.MAX_WINDOWS)
+    assert len(ask(decontaminate.find_contamination, 30)) == len(rows) and len(ask(decontaminate.clean, 30)) == len(rows) - 1
+
+
 def test_toxicity_learns_and_leaves_clean_texts(spark):
     rng = random.Random(2)
     bad = ["vile", "grubby", "nasty"]
