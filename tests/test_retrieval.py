@@ -3,6 +3,7 @@ import sqlite3
 import numpy as np
 from pyspark.sql import functions as F
 
+from quarry import queries
 from quarry.operators import analyze, evidence, ingest, search, vectors, verify
 from quarry.plans import research, retrieve
 from quarry.sources import articles as src
@@ -125,3 +126,10 @@ def test_vector_search_recall(spark):
         for r in vectors.search(asked, index, centroids, 64, **vectors.effort(len(x), nlist, **shares)).collect():
             found.setdefault(r["qid"], set()).add(r["id"])
         assert sum(len(truth[q] & found[q]) for q in truth) >= least * 10 * len(truth)
+
+
+def test_comparands_of_all_questions(spark, tmp_path):
+    asked = [(1, "compare iron and gold"), (2, "tea vs milk?"), (3, "Who was it?")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["qid"]: r["things"] for r in queries.QUERIES["comparands"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(asked) + len(queries.ASKED) and got[1] == "iron|gold" and got[2] == "tea|milk" and not got[3]
