@@ -10,14 +10,16 @@ the revisit that a 304 may carry.
 Scale.  Only narrow columns take part in the as-of join.  It runs in two levels:
 inside slices of time of each URL, then over one row per slice, so that a URL that
 a third of all captures share is spread over as many tasks as it has slices.
-Payloads and headers are fetched once, by record id, for what was resolved.
+Payloads and headers are fetched once, by record id, for what was resolved; a
+revisit's own headers by a hash of all that it says.
 DataFrame functions only.
 
 Defined cases.  ``status`` is ``resolved``, ``no_prior`` (no earlier response, or
 no URL), ``mismatch`` (validators differ) or ``no_validator`` (the revisit has
 none, or the response lacks the one it has); only resolved rows have a payload,
 the others keep their own headers.  Equal times are ordered by record id, of
-repeated record ids one response counts.  Records of other types are ignored.
+repeated record ids one response counts; every revisit row gives a row, also if
+its id is null or repeated.  Records of other types are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +59,10 @@ def resolve_revisits(records: DataFrame, *, slices: int = SLICES) -> DataFrame:
     rows = records.filter(F.col("record_type").isin("response", "revisit")).select(
         "record_id", (F.col("record_type") == "response").alias("full"), canonical_url(F.col("url")).alias("url_key"), ts.alias("ts"), lower.alias("headers"), "payload"
     )
-    narrow = rows.select("record_id", "full", "url_key", "ts", F.regexp_replace(_header("etag"), "^W/", "").alias("etag"), _header("last-modified").alias("modified"))
+    # what a revisit says, so that its own headers are found again: ids can be null or repeated
+    said = F.xxhash64("record_id", "url_key", "ts", F.array_sort(F.map_entries("headers")))
+    rows = rows.withColumn("key", F.when(~F.col("full"), said))
+    narrow = rows.select("record_id", "full", "url_key", "ts", F.regexp_replace(_header("etag"), "^W/", "").alias("etag"), _header("last-modified").alias("modified"), "key")
     bounds = narrow.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     low, high = (bounds["a"] or 0.0, bounds["b"] or 0.0)
     cut = F.least(F.lit(slices - 1), F.floor((F.col("ts") - low) * (slices / max(high - low, 1e-9))).cast("int"))
@@ -70,23 +75,23 @@ def resolve_revisits(records: DataFrame, *, slices: int = SLICES) -> DataFrame:
     newest = known.groupBy("url_key", "slice").agg(F.max(F.when(F.col("full"), found)).alias("newest"))
     earlier = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = newest.select("url_key", "slice", F.last("newest", ignorenulls=True).over(earlier).alias("carried")).filter("carried is not null")
-    asof = local.join(carried, ["url_key", "slice"], "left").select("record_id", "url_key", "etag", "modified", F.coalesce("near", "carried").alias("prior"))
-    lost = narrow.filter("not full and (url_key is null or ts is null)").select("record_id", "url_key", "etag", "modified", F.lit(None).cast(asof.schema["prior"].dataType).alias("prior"))
+    asof = local.join(carried, ["url_key", "slice"], "left").select("record_id", "url_key", "etag", "modified", "key", F.coalesce("near", "carried").alias("prior"))
+    lost = narrow.filter("not full and (url_key is null or ts is null)").select("record_id", "url_key", "etag", "modified", "key", F.lit(None).cast(asof.schema["prior"].dataType).alias("prior"))
 
     pair = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("prior.etag")).otherwise(F.col("modified") == F.col("prior.modified"))
     status = F.when(F.col("prior").isNull(), "no_prior").when(pair.isNull(), "no_validator").when(pair, "resolved").otherwise("mismatch")
-    judged = asof.unionByName(lost).select("record_id", "url_key", status.alias("status"), F.col("prior.record_id").alias("prior_id"))
-    judged = judged.select("record_id", "url_key", "status", F.when(F.col("status") == "resolved", F.col("prior_id")).alias("resolved_id"))
+    judged = asof.unionByName(lost).select("record_id", "url_key", status.alias("status"), F.col("prior.record_id").alias("prior_id"), "key")
+    judged = judged.select("record_id", "url_key", "status", F.when(F.col("status") == "resolved", F.col("prior_id")).alias("resolved_id"), "key")
 
     old = rows.filter("full").select(F.col("record_id").alias("resolved_id"), F.col("headers").alias("old"), "payload").join(
         judged.filter("resolved_id is not null").select("resolved_id").distinct(), "resolved_id", "left_semi"
     ).dropDuplicates(["resolved_id"])
-    own = rows.filter("not full").select("record_id", F.col("headers").alias("own"))
+    own = rows.filter("not full").select("key", F.col("record_id").alias("own_id"), F.col("headers").alias("own")).dropDuplicates(["key", "own_id"]).withColumnRenamed("key", "own_key")
     sent = F.map_filter(F.col("own"), lambda k, v: k.isin(PERMITTED))
     kept = F.map_filter(F.col("old"), lambda k, v: ~F.coalesce(F.map_contains_key(sent, k), F.lit(False)))
     merged = F.when(F.col("resolved_id").isNull(), F.col("own")).otherwise(F.map_concat(kept, F.coalesce(sent, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
     return (
-        judged.join(own, "record_id").join(old, "resolved_id", "left")
+        judged.join(own, (F.col("key") == F.col("own_key")) & F.col("record_id").eqNullSafe(F.col("own_id"))).join(old, "resolved_id", "left")
         .select("record_id", "url_key", "status", "resolved_id", merged.alias("headers"), "payload")
     )
 

@@ -261,6 +261,15 @@ def test_revisits_equal_brute_force(spark):
     assert got[next(i for i, k, u, *_ in rows if k == "revisit" and u)]["url_key"].endswith("/p?a=1&b=2")
 
 
+def test_revisits_of_null_and_repeated_ids(spark):
+    full = (1, "response", "http://a.b/x", 10, {"ETag": '"t"', "Server": "o"}, "body")
+    again = [(i, "revisit", "http://a.b/x", 20, {"ETag": '"t"', "Date": d}, None) for i, d in ((5, "d1"), (5, "d1"), (5, "d2"), (None, "d3"), (None, "d4"))]
+    lost = [(None, "revisit", None, 20, {"Date": "d5"}, None)]
+    frame = spark.createDataFrame([full, *again, *lost], "record_id long, record_type string, url string, ts long, headers map<string,string>, payload string")
+    got = [(r["record_id"], r["headers"].get("date"), r["status"], r["payload"]) for r in warc.resolve_revisits(frame).collect()]
+    assert sorted(got, key=str) == sorted([(i, h["Date"], "resolved", "body") for i, _, _, _, h, _ in again] + [(None, "d5", "no_prior", None)], key=str)
+
+
 def test_compaction_keeps_rows_and_versions(spark, tmp_path):
     store = compaction.ShardStore(spark, f"file://{tmp_path}/store", target=1 << 20, smallest=1 << 10)
     docs = _docs(spark)
