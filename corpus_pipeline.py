@@ -8,8 +8,9 @@ read again, so a lost executor never costs more than a stage's own work.
     toxic go.
 2.  language ID: fitted on their ``lang``; documents without a language (no
     letters, or no language with at least half of the probability) go.
-3.  n-gram Jaccard join: of each class of near duplicates the document with the
-    smallest id stays (of rows that repeat it, one).
+3.  n-gram Jaccard join: of each class of near duplicates the row with the
+    smallest id stays (a null id is the largest; of rows with that id, one).
+    Rows are judged by their texts alone, also where an id is null or repeated.
 4.  benchmark decontamination: contaminated documents go; from the others the
     spans that benchmark windows cover are cut, and ``n_chars`` follows.
 5.  best-fit packing: the pieces of what is left, with their sequence and offset.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard, langid, packing, toxicity
-from quarry.llm.shared import fresh_path, table
+from quarry.llm.shared import fresh_path, stash, table
 
 #: SQL cannot express the fitted models; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -42,15 +43,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.near_duplicates(docs)
-    extra = classes.filter("doc_id <> class_id").select("doc_id")
-    kept = docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat the class's own id: one stays
-    again = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    if not again.head(1):
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated.dropDuplicates(["doc_id"]))
+    # ids can be null, or stand for several texts: rows are told apart by their place in the stage's table
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    linked = jaccard.near_duplicates(keyed, id_col="__row").filter("n_links > 0").select(F.col("doc_id").alias("__row"), "class_id")
+    linked = stash(linked.join(keyed.select("__row", "doc_id"), "__row"), "linked")
+    first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("kept"))
+    extra = linked.join(first.select(F.col("kept.__row").alias("__row")), "__row", "left_anti").select("__row")
+    return keyed.join(extra, "__row", "left_anti").select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,6 +328,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert zlib.crc32(b"") == 0 and all(r["length"] > 0 for r in out)
 
 
+def test_near_duplicates_leave_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, d = (_text(rng, 80) for _ in range(4))
+    near = lambda text: text + " word"
+    rows = [(1, a, "a"), (5, near(a), "copy"), (5, b, "b"), (6, c, "c"), (6, d, "d"), (None, near(c), "copy"), (None, _text(rng, 80), "e"), (None, None, "f"), (7, d, "copy"), (7, d, "copy")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, "")
+    assert kept.columns == frame.columns and sorted(r["tag"] for r in kept.collect()) == list("abcdef")
+
+
 def test_chunks_have_the_ids_of_whole_texts():
     from tokenizers import Tokenizer
 
