@@ -12,19 +12,24 @@ How it runs:
 1.  One map-only pass makes each document's set digest and band hashes; documents
     with equal sets become one representative, pre-aggregated before the shuffle,
     so a group of copies of any size costs one row from here on.
-2.  Band hashes are shuffled; each bucket links its members to its smallest one
-    (a star, never all pairs), and connected stars are candidate groups.
-3.  The sets of candidates alone are made again from their texts: a second pass
-    over documents drops the others by a bitmap of fixed size before its shuffle.
-4.  Each candidate group is verified in blocks of about ``BLOCK`` members: a task
-    holds two blocks at most, counts common n-grams of all its pairs by a matrix
-    product, and emits one row per member (its links and its smallest linked
-    member), not pairs.  A group of thousands of near copies becomes many tasks.
-5.  Components of verified links give the classes.
-
-Bands and rows are chosen for ``recall`` at the threshold (``choose_bands``); a
-candidate group is verified as a whole, so a pair whose own bands all differ is
-still found if others connect it.
+2.  Band hashes are shuffled and counted.  Representatives that share a band hash
+    with another are candidates; each goes home to the largest of its buckets, and
+    homes are split into blocks bounded in members and in n-grams (``block_count``).
+3.  Two blocks meet if some bucket has members in both, so every pair that shares a
+    band is in exactly one pair of blocks; a chain of small buckets meets only its
+    neighbours, and only a bucket that is itself large costs many block pairs.
+4.  The sets of candidates alone are made again from their texts: a second pass
+    over documents drops the others by a bitmap before its shuffle.
+5.  A unit of work is a block with some of the smaller blocks that it meets: common
+    n-grams are counted by a matrix product, and one row per member comes out (its
+    links and its smallest linked member), not pairs.  A group of thousands of near
+    copies becomes many units.
+6.  Components of verified links give the classes.
+
+Bands and rows are chosen for ``recall`` at the threshold (``choose_bands``).  Blocks
+are verified whole, so pairs that share no band are found too if they share blocks.
+Working tables go to spark.checkpoint.dir; those that the result does not read are
+deleted before it is returned.
 
 Defined cases.  Null and empty texts are linked with nothing: class and copy id
 are their own id.  Texts without a word are copies if they are equal.  Repeated
@@ -41,17 +46,18 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .shared import lean, sorted_groups, stash
+from .shared import drop_stash, lean, sorted_groups, stash
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
-BLOCK = 256
-#: Bits of the candidates' bitmap; more candidates only make the filter weaker.
-FILTER_BITS = 1 << 23
+#: Members of a block: twice the root of its home's size, but within BLOCK and 8 * BLOCK; and its n-grams.
+BLOCK, BLOCK_GRAMS = 128, 1 << 20
+#: Bits of the candidates' bitmap: 16 a candidate up to here (16 MB); beyond, the filter only gets weaker.
+FILTER_BITS = 1 << 27
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = 128) -> tuple[int, int]:
@@ -144,20 +150,19 @@ def _signatures(n: int, bands: int, rows: int):
     return run
 
 
-def _bitmap(spark: SparkSession, keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the column ``d1``: at most bits / 64 rows reach the driver."""
+def _bitmap(keys: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the column ``d1`` and its number of bits; at most ``most / 64`` rows reach the driver."""
+    bits = min(most, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
     slot = F.col("d1").bitwiseAND(F.lit(bits - 1))
-    words = keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(d1 & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    words = keys.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(d1 & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
     got = words.toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[got["word"].to_numpy()] = got["bit"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if bits <= 1 << 16 else out
+    return out, bits
 
 
 def _in_bitmap(bitmap: np.ndarray, bits: int, d1: np.ndarray) -> np.ndarray:
     slot = d1 & (bits - 1)
-    if bitmap.dtype == bool:
-        return bitmap[slot]
     return (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
@@ -181,61 +186,86 @@ def _sets_of(held, bits: int, n: int):
     return run
 
 
-def linked(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
-    """Boolean matrix: which pairs of sets reach the threshold (the diagonal is False)."""
-    m, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
-    common = np.zeros((m, m), np.float32)
-    if m == 2:
-        common[0, 1] = common[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: Fraction) -> np.ndarray:
+    """Boolean matrix: which sets of ``left`` and ``right`` reach the threshold."""
+    m, sizes = len(left), np.array([len(s) for s in (*left, *right)], np.int64)
+    if m == len(right) == 1:
+        both = np.array([[len(np.intersect1d(left[0], right[0], assume_unique=True))]])
     else:
-        _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
         shared = counts > 1
         column = np.where(shared, np.cumsum(shared) - 1, -1)[inverse]
-        row = np.repeat(np.arange(m), sizes)
+        row = np.repeat(np.arange(len(sizes)), sizes)
         row, column = row[column >= 0], column[column >= 0]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        step = max(256, min(8192, (8 << 20) // max(1, m)))
+        step = max(256, min(8192, (4 << 20) // len(sizes)))
+        common = np.zeros((m, len(right)), np.float32)
         for lo in range(0, int(shared.sum()), step):
             a, b = np.searchsorted(column, [lo, lo + step])
-            part = np.zeros((m, step), np.float32)
+            part = np.zeros((len(sizes), step), np.float32)
             part[row[a:b], column[a:b] - lo] = 1
-            common += part @ part.T
-    both = common.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - both
-    out = both * threshold.denominator >= union * threshold.numerator
-    np.fill_diagonal(out, False)
-    return out
+            common += part[:m] @ part[m:].T
+        both = common.astype(np.int64)
+    union = sizes[:m, None] + sizes[None, m:] - both
+    return both * threshold.denominator >= union * threshold.numerator
 
 
 def _verify(threshold: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["comp", "bi", "bj"]):
-            rid = group["rid"].to_numpy()
-            _, first = np.unique(rid, return_index=True)  # other tasks may have sent the same set
-            group = group.take(pa.array(first))
+        for group in sorted_groups(batches, ["big", "part"]):
             rid, copies, block = (group[c].to_numpy() for c in ("rid", "copies", "block"))
-            if len(rid) < 2:
+            sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in group["grams"]]
+            own = block == group["big"][0].as_py()
+            left, others = np.flatnonzero(own), np.flatnonzero(~own)
+            right = np.concatenate([left, others]) if group["part"][0].as_py() == 0 else others
+            if not len(left) or not len(right) or len(rid) < 2:
                 continue
-            adj = linked([np.frombuffer(g, np.uint64) for g in group["grams"].to_pylist()], threshold)
-            if group["bi"][0] != group["bj"][0]:
-                adj &= block[:, None] != block[None, :]
-            links = adj @ copies
-            root = np.arange(len(rid))
-            while True:
-                near = np.where(adj, root[None, :], len(rid)).min(1)
-                new = np.minimum(root, near)
-                new = new[new]
-                if (new == root).all():
+            adj = linked([sets[i] for i in left], [sets[i] for i in right], threshold)
+            adj &= left[:, None] != right[None, :]
+            links, root = np.zeros(len(rid), np.int64), rid.copy()
+            links[others] = copies[left] @ adj[:, len(right) - len(others) :]
+            links[left] = adj @ copies[right]
+            high = np.iinfo(np.int64).max
+            while True:  # each to the smallest among its linked ones, both ways, until nothing changes
+                old = root.copy()
+                root[left] = np.minimum(root[left], np.where(adj, root[right][None, :], high).min(1))
+                root[right] = np.minimum(root[right], np.where(adj, root[left][:, None], high).min(0))
+                if (old == root).all():
                     break
-                root = new
             on = np.flatnonzero(links > 0)
             if len(on):
-                yield pa.RecordBatch.from_arrays([pa.array(rid[on]), pa.array(rid[root[on]]), pa.array(links[on].astype(np.int64))], ["rid", "root", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[on]), pa.array(root[on]), pa.array(links[on])], ["rid", "root", "links"])
 
     return run
 
 
+def block_count(members: Column, grams: Column, least: int) -> Column:
+    """Blocks of a home: of ``least`` members where it is small, of 8 times as many where it is large, of about BLOCK_GRAMS n-grams."""
+    each = F.least(F.greatest(2 * F.sqrt(members), F.lit(least)), F.lit(8 * least))
+    return F.ceil(F.greatest(members / each, grams / F.lit(BLOCK_GRAMS))).cast("long")
+
+
+def _units(members: DataFrame, least: int) -> DataFrame:
+    """``big, part, block``: what a task compares.  A unit holds one block (``big``) and, of the smaller
+    blocks that share a bucket with it, about as many members as a block has; part 0 also compares the
+    block with itself.  So a large block is not sent along with each small one that it meets."""
+    sizes = members.groupBy("block").agg(F.count("*").alias("size"))
+    touched = members.select(F.explode("hashes").alias("hash"), "block").distinct()
+    met = touched.select("hash", F.col("block").alias("a")).join(touched.select("hash", F.col("block").alias("b")), "hash").filter("a < b").select("a", "b").distinct()
+    sized = met.join(sizes.select(F.col("block").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("block").alias("b"), F.col("size").alias("sb")), "b")
+    pairs = sized.select(
+        F.when(F.col("sa") >= F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("big"), F.when(F.col("sa") >= F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("block"),
+        F.greatest("sa", "sb").alias("size"), F.least("sa", "sb").alias("less"),
+    )
+    parts = pairs.groupBy("big", "size").agg(F.sum("less").alias("total"))
+    parts = parts.select("big", F.ceil(F.col("total") / F.greatest("size", F.lit(least))).alias("parts"))
+    others = pairs.join(parts, "big").select("big", F.pmod(F.xxhash64("block"), "parts").alias("part"), "block")
+    own = sizes.join(parts, F.col("block") == F.col("big"), "left").filter("size > 1 or parts is not null")
+    own = own.select(F.col("block").alias("big"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "block")
+    return others.unionByName(own)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -256,28 +286,30 @@ def near_duplicates(
     signed = stash(base.mapInArrow(lean(_signatures(n, bands, rows)), f"id {kind}, d1 long, d2 long, n int, bands array<long>"), "signatures")
     reps = stash(
         signed.filter("d1 is not null").groupBy("d1", "d2")
-        .agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        .agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
         .withColumn("rid", F.monotonically_increasing_id()),
         "representatives",
     )
 
-    banded = reps.filter("bands is not null").select("rid", F.posexplode("bands").alias("band", "hash"))
-    centres = banded.groupBy("band", "hash").agg(F.min("rid").alias("centre"), F.count("*").alias("m")).filter("m > 1")
-    stars = banded.join(centres, ["band", "hash"]).filter("rid <> centre").select(F.col("rid").alias("a"), F.col("centre").alias("b")).distinct()
-    groups = components(stars)
-    sized = groups.join(groups.groupBy("root").agg(F.count("*").alias("m")), "root").select(F.col("node").alias("rid"), F.col("root").alias("comp"), "m")
-    candidates = stash(sized.join(reps.select("rid", "d1", "d2", "copies"), "rid"), "candidates")
-
-    held = spark.sparkContext.broadcast(_bitmap(spark, candidates, filter_bits))
-    sets = base.select("text").mapInArrow(lean(_sets_of(held, filter_bits, n)), "d1 long, d2 long, grams binary")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    parts = (
-        candidates.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("d1", "d2", "comp", "rid", "copies", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    )
+    banded = reps.filter("bands is not null").select("rid", "n", F.explode("bands").alias("hash"))
+    buckets = banded.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1")
+    homed = stash(
+        banded.join(buckets, "hash").groupBy("rid", "n").agg(F.max(F.struct("m", "hash")).alias("home"), F.collect_set("hash").alias("hashes"))
+        .select("rid", "n", F.col("home.hash").alias("home"), "hashes"),
+        "homes",
+    )  # a row has as many hashes as there are bands at most
+    sizes = homed.groupBy("home").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    place = F.xxhash64("home", F.pmod(F.xxhash64("rid"), block_count(F.col("m"), F.col("grams"), block)))
+    members = stash(homed.join(sizes, "home").select("rid", place.alias("block"), "hashes"), "members")
+    candidates = stash(members.select("rid", "block").join(reps.select("rid", "d1", "d2", "copies"), "rid"), "candidates")
+
+    bitmap, bits = _bitmap(candidates, filter_bits)
+    held = spark.sparkContext.broadcast(bitmap)
+    sets = base.select("text").mapInArrow(lean(_sets_of(held, bits, n)), "d1 long, d2 long, grams binary").dropDuplicates(["d1", "d2"])
+    units = stash(_units(members, block), "units")
     checked = stash(
-        parts.join(sets, ["d1", "d2"]).drop("d1", "d2").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
+        candidates.join(units, "block").join(sets, ["d1", "d2"]).select("big", "part", "block", "rid", "copies", "grams")
+        .repartition("big", "part").sortWithinPartitions("big", "part")
         .mapInArrow(lean(_verify(Fraction(str(threshold)))), "rid long, root long, links long"),
         "links",
     )
@@ -285,10 +317,13 @@ def near_duplicates(
     links = checked.groupBy("rid").agg(F.sum("links").alias("links"))
     named = reps.select("rid", "d1", "d2", "copy_id", "copies").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     classes = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    known = (
+    known = stash(
         named.join(classes, "root").join(links, "rid", "left")
-        .select("d1", "d2", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("d1", "d2", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        "classes",
     )
+    drop_stash(reps, homed, members, candidates, units, checked, roots)
+    held.unpersist()
     return signed.select("id", "d1", "d2").join(known, ["d1", "d2"], "left").select(
         F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )

@@ -49,10 +49,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Deletes the files of a frame from ``stash`` that nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        delete(df.sparkSession, folder)
+def drop_stash(*frames: DataFrame) -> None:
+    """Deletes the files of frames from ``stash`` that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
 
 
 #: Rows of one Arrow batch at most: texts can be long, and a batch is held several times over.

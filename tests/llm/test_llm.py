@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, compaction, decontaminate, jaccard, langid, licenses, media, packing, toxicity, warc
+from quarry.llm import chat, compaction, components, decontaminate, jaccard, langid, licenses, media, packing, toxicity, warc
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -115,6 +115,56 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert jaccard.near_duplicates(_docs(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_chains_and_one_large_group(spark):
+    rng = random.Random(21)
+    chain, rows = [f"c{i}" for i in range(140)], []
+    for i in range(300):  # neighbours are linked, ends share nothing
+        rows.append((i, " ".join(chain)))
+        at = (7 * i) % 140
+        chain[at] = f"c{1000 + i}"
+    hot = [f"h{i}" for i in range(200)]
+    for i in range(3000):
+        w = list(hot)
+        for _ in range(2):
+            w[rng.randrange(200)] = f"x{i}"
+        rows.append((10_000 + i, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r for r in jaccard.near_duplicates(frame, block=64).collect()}
+    sets = {i: _shingles(t) for i, t in rows}
+    links = dict.fromkeys(sets, 0)
+    for i in range(300):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+    assert min(links[i] for i in range(300)) > 0
+    near = [i for i in sets if i >= 10_000]
+    for i in rng.sample(near, 25):
+        assert got[i]["n_links"] == sum(10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for j in near if i != j)
+    assert {i: got[i]["n_links"] for i in range(300)} == {i: links[i] for i in range(300)}
+    assert {got[i]["class_id"] for i in range(300)} == {0} and {got[i]["class_id"] for i in near} == {10_000}
+
+
+def test_components_of_paths_stars_and_random_edges(spark):
+    rng = random.Random(22)
+    edges = [(i, i + 1) for i in range(500)] + [(1000, 1000 + i) for i in range(1, 400)] + [(2000 + i, 2399) for i in range(399)]
+    edges += [(3000 + rng.randrange(900), 3000 + rng.randrange(900)) for _ in range(500)] + [(5000, 5000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges * 2, "a long, b long")).collect()}
+    alone = {x for x in root if all(a == b for a, b in edges if x in (a, b))}
+    assert got == {x: find(x) for x in root if x not in alone} and 5000 in alone
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     item = _text(rng, 20)
