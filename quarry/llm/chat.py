@@ -19,7 +19,8 @@ A turn that alone exceeds the budget is a window of its own, marked
 
 Defined cases.  Null roles and texts count as empty; null turn numbers come
 first; equal turn numbers are ordered by role and text; rows with a null
-conversation id are one conversation.  An empty table gives no windows.
+conversation id are one conversation.  Ids are of any type that sorts.  An empty
+table gives no windows.
 """
 
 from __future__ import annotations
@@ -154,6 +155,7 @@ def format_windows(
 
         def turns():
             for batch in batches:
+                types[0] = batch.schema.field(0).type
                 conv, _, role, text = (c.to_pylist() for c in batch.columns)
                 for c, r, t, n, k in zip(conv, role, text, count(text), count(role)):
                     yield c, (r, t, n + k + MARKS)
@@ -170,7 +172,7 @@ def format_windows(
                     turn, ahead = ahead[1], next(rows, None)
                     yield turn
 
-            for i, w in enumerate(windows_of(own(), budget, history)):
+            for i, w in enumerate(windows_of(own(), budget, history)):  # ids keep the type they came with
                 out.append((conv, i, *w))
                 size += len(w[4])
                 if size > 1 << 20:
@@ -179,9 +181,8 @@ def format_windows(
         if out:
             yield _batch(out)
 
-    conv_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     loss_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    types = [conv_type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), loss_type]
+    types = [pa.null(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), loss_type]
     names = ["conv_id", "window", "repeated", "n_turns", "tokens", "over_budget", "text", "loss"]
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
@@ -190,11 +191,14 @@ def format_windows(
     return rows.mapInArrow(lean(run), WINDOWS.format(kind))
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """Per conversation, from windows in the order of ``format_windows``: ``conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars``, all read from the formatted texts."""
+def read_back(windows: DataFrame, *, in_order: bool = False) -> DataFrame:
+    """Per conversation: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, all
+    read from the formatted texts.  Windows are sorted first, unless they are ``in_order``: straight
+    from ``format_windows``, which gives each conversation's windows one after another."""
     kind = windows.schema["conv_id"].dataType.simpleString()
-    conv_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    windows = windows.select("conv_id", "window", "repeated", "text", "loss")
+    if not in_order:
+        windows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list | None = None
@@ -203,11 +207,11 @@ def read_back(windows: DataFrame) -> DataFrame:
             return state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            types = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            types = [conv, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         for batch in batches:
-            out = []
+            out, conv = [], batch.schema.field(0).type
             for w in batch.to_pylist():
                 if w["window"] == 0:
                     if state:
@@ -226,6 +230,6 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state:
             yield batch_of([done()])
 
-    return windows.select("conv_id", "window", "repeated", "text", "loss").mapInArrow(
+    return windows.mapInArrow(
         lean(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -5,17 +5,21 @@ Arrivals are appended as small Parquet shards, which are never changed; a
 manifest lists the shards of one version.  Compaction groups shards by size (tier
 ``k`` holds sizes from ``smallest * ratio**k`` on), merges a tier that has
 ``fan_in`` shards or more into files of about ``target`` bytes, and leaves files
-of at least half of the target alone.  Merging reads whole shards next to each
-other without a shuffle: the work of a task is one target file.
+of at least half of the target alone.  Merges that would fill a higher tier are
+planned together, from the sizes, until no tier is full, so each byte is rewritten
+once a call.  Merging reads whole shards next to each other without a shuffle: the
+work of a task is one target file.
 
 A version is committed by writing its manifest under another name and renaming
 it to a name that must not exist yet: readers see the old version or the new
 one, a writer that lost the race fails with its data unreferenced, and a job that
 dies before the rename leaves nothing visible.  Old versions stay readable until
-``vacuum``.  Rows pass through DataFrame readers and writers alone; the driver
-handles file names and sizes.
+``vacuum``, which spares what was superseded recently and files that no manifest
+lists yet, as a writer may be about to commit them.  Rows pass through DataFrame
+readers and writers alone; the driver handles file names and sizes.
 
-Defined cases.  Empty arrivals add a version without shards.  Reading a version
+Defined cases.  Empty arrivals add a version without shards (one version, if
+there is no value in the arrival column).  Reading a version
 without shards gives no rows of the store's schema.  All columns, nulls and
 repeated rows are kept as they are.  Rows with a null arrival are an arrival.
 """
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -32,6 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TARGET = 128 << 20
+#: Seconds for which superseded versions stay readable, and for which unlisted files may still be committed.
+KEEP, PENDING = 24 * 3600, 7 * 24 * 3600
 
 
 @dataclass(frozen=True)
@@ -64,16 +71,16 @@ class ShardStore:
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "schema": None, "shards": []}
-        text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/manifest-{version:08d}.json").collect())
+        text = "\n".join(r["value"] for r in self.spark.read.text(self._name(version)).collect())
         return json.loads(text)
 
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**s) for s in self.manifest(version)["shards"]]
 
     def _commit(self, base: int, schema: str, shards: list[Shard]) -> int:
-        """Makes version ``base + 1``; raises if another writer has made it."""
+        """Makes version ``base + 1``; raises if another writer has made it, or if ``base`` is so old that it is gone."""
         body = json.dumps({"version": base + 1, "schema": schema, "shards": [vars(s) for s in shards]})
-        draft, final = f"{self.folder}/.draft-{uuid.uuid4().hex}", f"{self.folder}/manifest-{base + 1:08d}.json"
+        draft, final = f"{self.folder}/.draft-{uuid.uuid4().hex}", self._name(base + 1)
         out = self._fs.create(self._path(draft), False)
         out.write(bytearray(body.encode()))
         out.close()
@@ -84,8 +91,14 @@ class ShardStore:
         except Exception as e:
             self._fs.delete(self._path(draft), False)
             raise RuntimeError(f"version {base + 1} was committed by another writer") from e
+        if base and not self._fs.exists(self._path(self._name(base))):  # the name was free because vacuum had freed it
+            self._fs.delete(self._path(final), False)
+            raise RuntimeError(f"version {base} was superseded long ago")
         return base + 1
 
+    def _name(self, version: int) -> str:
+        return f"{self.folder}/manifest-{version:08d}.json"
+
     # data
 
     def _files(self, folder: str, arrival: str) -> list[Shard]:
@@ -114,26 +127,37 @@ class ShardStore:
         if arrival_col:
             parts = sorted((s.getPath().toString(), s.getPath().getName().split("=", 1)[1]) for s in self._fs.listStatus(self._path(folder)) if s.isDirectory())
         version, shards = base["version"], [Shard(**s) for s in base["shards"]]
-        for path, arrival in parts:
-            shards = [*shards, *(s for s in self._files(path, arrival) if s.bytes)]
+        for path, arrival in parts or [(None, "")]:
+            shards = [*shards, *(s for s in self._files(path, arrival) if s.bytes)] if path else shards
             version = self._commit(version, schema.json(), shards)
         return version
 
-    def tiers(self, shards: list[Shard]) -> list[list[Shard]]:
-        """The runs of shards of similar size that a compaction merges."""
-        by: dict[int, list[Shard]] = {}
-        for s in shards:
-            if s.bytes < self.target / 2:
-                by.setdefault(max(0, int(math.log(max(s.bytes, 1) / self.smallest, self.ratio))), []).append(s)
-        return [sorted(run, key=lambda s: s.path) for _, run in sorted(by.items()) if len(run) >= self.fan_in]
+    def _tier(self, size: int) -> int:
+        return max(0, int(math.log(max(size, 1) / self.smallest, self.ratio)))
+
+    def runs(self, shards: list[Shard]) -> list[list[Shard]]:
+        """The runs of shards that a compaction merges: full tiers of similar sizes, and what they fill in turn."""
+        small, done = [[s] for s in sorted(shards, key=lambda s: s.path) if s.bytes < self.target / 2], []
+        size = lambda run: sum(s.bytes for s in run)
+        while True:
+            by: dict[int, list[list[Shard]]] = {}
+            for run in small:
+                by.setdefault(self._tier(size(run)), []).append(run)
+            full = [runs for _, runs in sorted(by.items()) if len(runs) >= self.fan_in]
+            if not full:
+                return done + [run for run in small if len(run) > 1]
+            small = [run for runs in by.values() if len(runs) < self.fan_in for run in runs]
+            for runs in full:
+                whole = [s for run in runs for s in run]
+                (small if size(whole) < self.target / 2 else done).append(whole)
 
     def compact(self) -> int:
-        """Merges each full tier and commits the result as one version; returns the newest version."""
+        """Merges what ``runs`` plans and commits the result as one version; returns the newest version."""
         base = self.manifest()
         shards = [Shard(**s) for s in base["shards"]]
         merged: list[Shard] = []
         gone: set[str] = set()
-        for run in self.tiers(shards):
+        for run in self.runs(shards):
             folder = f"{self.folder}/data/{uuid.uuid4().hex}"
             files = max(1, round(sum(s.bytes for s in run) / self.target))
             self._rows(base["schema"], run).coalesce(files).write.parquet(folder)
@@ -153,17 +177,27 @@ class ShardStore:
             raise ValueError("the store has no version yet")
         return self._rows(held["schema"], [Shard(**s) for s in held["shards"]])
 
-    def vacuum(self) -> int:
-        """Deletes data files that the newest version does not list, and older manifests; returns how many files."""
-        newest = self.version()
-        live = {s.path for s in self.shards(newest)}
-        data = f"{self.folder}/data"
-        old = [s for s in self._files(data, "") if s.path not in live] if self._fs.exists(self._path(data)) else []
-        for s in old:
-            self._fs.delete(self._path(s.path), False)
-        for v in range(1, newest):
-            self._fs.delete(self._path(f"{self.folder}/manifest-{v:08d}.json"), False)
-        return len(old)
+    def vacuum(self, keep: float = KEEP, pending: float = PENDING) -> int:
+        """Deletes versions that were superseded over ``keep`` seconds ago, with the data files that only they
+        list, and files that no manifest lists and that are older than ``pending`` seconds (those of writers
+        that died; younger ones may be about to be committed).  Returns how many data files.
+
+        Names go before files: a reader never finds a version without its files, and what a vacuum that
+        dies leaves behind is unlisted.
+        """
+        newest, now = self.version(), time.time()
+        made = {v: self._fs.getFileStatus(self._path(self._name(v))).getModificationTime() / 1000 for v in range(1, newest + 1) if self._fs.exists(self._path(self._name(v)))}
+        old = [v for v in sorted(made) if v < newest and made.get(v + 1, 0) <= now - keep]
+        live = {s.path for v in made if v not in old for s in self.shards(v)}
+        listed = {s.path for v in old for s in self.shards(v)}
+        for v in old:
+            self._fs.delete(self._path(self._name(v)), False)
+        data, n = f"{self.folder}/data", 0
+        for s in self._files(data, "") if self._fs.exists(self._path(data)) else []:
+            if s.path not in live and (s.path in listed or self._fs.getFileStatus(self._path(s.path)).getModificationTime() / 1000 <= now - pending):
+                self._fs.delete(self._path(s.path), False)
+                n += 1
+        return n
 
 
 def arrival_of(source_col: str = "source", arrivals: int = 8) -> Column:

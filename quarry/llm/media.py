@@ -8,11 +8,14 @@ Decoded are Netpbm P1 to P6 (plain and raw, 1 to 16 bits a sample, comments in
 headers) and uncompressed BMP of 1, 4, 8, 24 and 32 bits (with palettes, rows in
 either order).  An area resize averages exactly the input area under each output
 sample, also where edges cut through samples: the integral image is interpolated
-at the output's edges, so the cost does not depend on the scale.  A difference
+at the output's edges, so the cost does not depend on the scale, and made by strips
+of rows, so that an image of any size takes a few megabytes besides itself.  A difference
 hash compares neighbours in an 8 x 9 resize of the brightness: 64 bits as hex.
 
 Defined cases.  A null, empty, cut or unknown image gives null results and a
-message in ``error``; other rows are not affected.  Equal bytes give equal rows.
+message in ``error``, and so does one with a sample above its own largest value;
+other rows are not affected.  Equal bytes give equal rows.  Columns whose names the
+result adds are a ValueError.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,7 +59,10 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         values = list(re.findall(rb"[01]", body)) if kind == b"P1" else body.split()
         if len(values) < n:
             raise ValueError("image is cut")
-        out = np.array([int(v) for v in values[:n]], dtype)
+        whole = [int(v) for v in values[:n]]
+        if max(whole) > top:
+            raise ValueError("a sample is above the largest value")
+        out = np.array(whole, dtype)
     else:
         at += 1  # one blank ends the header
         stride = (w + 7) // 8
@@ -66,6 +72,8 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         if kind == b"P4":
             return np.unpackbits(np.frombuffer(raw, np.uint8, need, at).reshape(h, stride), axis=1)[:, :w]
         out = np.frombuffer(raw, dtype, n, at)
+        if top not in (255, 65535) and out.max() > top:
+            raise ValueError("a sample is above the largest value")
     return out.astype(dtype.newbyteorder("=")).reshape((h, w, 3) if channels == 3 else (h, w))
 
 
@@ -128,28 +136,39 @@ def decode(raw: bytes) -> np.ndarray:
     return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the input area under each output sample, as float64."""
-    h, w = image.shape[:2]
-    total = np.zeros((h + 1, w + 1, *image.shape[2:]))
-    total[1:, 1:] = image
-    np.cumsum(total, axis=0, out=total)
-    np.cumsum(total, axis=1, out=total)
-
-    def cut(a: np.ndarray, n: int, to: int, axis: int) -> np.ndarray:
-        edge = np.arange(to + 1) * n / to
-        low = np.minimum(edge.astype(np.int64), n - 1)
-        part = (edge - low).reshape([-1 if i == axis else 1 for i in range(a.ndim)])
-        x = a.take(low, axis)
-        return np.diff(x + (a.take(low + 1, axis) - x) * part, axis=axis)
-
-    return cut(cut(total, h, height, 0), w, width, 1) / (h * w / (height * width))
+def area_resize(image: np.ndarray, height: int, width: int, strip: int = 1 << 18) -> np.ndarray:
+    """Mean of the input area under each output sample, as float64; holds about ``strip`` samples, or one row."""
+    h, w, more = *image.shape[:2], image.shape[2:]
+    each = max(1, strip // max(1, int(np.prod(image.shape[1:]))))
+
+    def edges(n: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(to + 1) * n / to
+        low = np.minimum(at.astype(np.int64), n - 1)
+        return low, at - low
+
+    (row, part), (col, share) = edges(h, height), edges(w, width)
+    cut = np.empty((height + 1, width + 1, *more))  # the integral image at the output's corners
+    above = np.zeros((1, w, *more))  # column sums of all rows before the strip
+    for lo in range(0, h, each):
+        sums = np.concatenate([above, image[lo : lo + each]])
+        np.cumsum(sums, axis=0, out=sums)
+        own = np.flatnonzero((row >= lo) & (row < lo + each))
+        for k in range(0, len(own), each):
+            e = own[k : k + each]
+            x = sums[row[e] - lo]
+            x += (sums[row[e] - lo + 1] - x) * part[e].reshape(-1, *[1] * (x.ndim - 1))
+            total = np.zeros((len(e), w + 1, *more))
+            np.cumsum(x, axis=1, out=total[:, 1:])
+            left = total[:, col]
+            cut[e] = left + (total[:, col + 1] - left) * share.reshape(1, -1, *[1] * len(more))
+        above = sums[-1:].copy()
+    return np.diff(np.diff(cut, axis=0), axis=1) / (h * w / (height * width))
 
 
 def difference_hash(image: np.ndarray) -> str:
-    grey = image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
-    small = np.round(area_resize(grey, 8, 9), 6)
-    return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
+    small = area_resize(image, 8, 9)
+    grey = np.round(small if image.ndim == 2 else small @ np.array([0.299, 0.587, 0.114]), 6)
+    return np.packbits(grey[:, 1:] > grey[:, :-1]).tobytes().hex()
 
 
 def npy_bytes(image: np.ndarray) -> bytes:

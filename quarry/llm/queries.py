@@ -65,7 +65,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.read_back(chat.format_windows(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return chat.read_back(chat.format_windows(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), in_order=True)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

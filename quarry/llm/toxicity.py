@@ -2,23 +2,29 @@
 
 Features of a text are the *presence* of its words, word pairs and skip-grams
 (pairs with one word between), each hashed to 32 bits; words also count by
-their first 4 and 6 bytes, a crude stem that ties inflected and compounded
+their first bytes (``Ftrl.heads``), a crude stem that ties inflected and compounded
 forms.  Long texts are not normalised away, so one tell-tale word weighs the
 same wherever it stands.
 FTRL-proximal keeps per-coordinate learning rates and an L1 term that leaves
 most coordinates at exactly zero: what is kept is a few thousand (index,
 weight) pairs, which are broadcast to a map-only scoring pass.
 
-Fitting reads a bounded sample of labelled rows: at most ``max_positive`` rows of
+Fitting reads a bounded sample of labelled rows: at most ``max_positive`` ids of
 label 1 and ``max_negative`` of label 0, those with the smallest hashes of their
-id, and the intercept is then moved to the class shares of *all* labelled rows.
-Features that fewer than ``min_count`` sampled rows have are left out.  The fit
-is one sequential pass per epoch inside one executor task over that sample; its
-memory is about 4 bytes a feature, whatever the size of the corpus.
+id, and of each label rows with at most ``max_features`` features together (one
+row at least), so the sample is bounded in bytes too.  The intercept is then moved
+to the class shares of *all* labelled rows.  Executors make features, count them
+and leave out those that fewer than ``min_count`` sampled rows have; the rows' other
+coordinates, 4 bytes each, go to one task in the order of a hash, where each epoch
+is a sequential pass.
+
+Rates, penalties and heads are chosen by cross-validation inside the learning rows
+(``choose_toxicity``).
 
 Defined cases.  Null and empty texts have no features and get the intercept's
 score.  An id with several labels counts as toxic if one of them is 1; null
-labels are ignored.  Without labels of both classes the model has no weights
+labels are ignored.  An id with several rows teaches the one with the fewest
+features.  Without labels of both classes the model has no weights
 and scores each text with the smoothed share of label 1.  Other columns are
 never read.
 """
@@ -30,25 +36,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import lean
+from .shared import drop_stash, lean, stash
 
-MAX_POSITIVE, MAX_NEGATIVE = 4096, 8192
+MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 4096, 8192, 1 << 25
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Rates and penalties of FTRL-proximal."""
+    """Rates and penalties of FTRL-proximal, and the lengths of the word heads that are features."""
 
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 4.0
     l2: float = 0.0
-    epochs: int = 5
+    epochs: int = 3
     min_count: int = 3
+    heads: tuple[int, ...] = (4, 6)
 
 
 @dataclass
@@ -58,6 +65,7 @@ class Model:
     index: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint32))
     weight: np.ndarray = field(default_factory=lambda: np.empty(0, np.float64))
     bias: float = 0.0
+    heads: tuple[int, ...] = Ftrl.heads
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -66,7 +74,7 @@ class Model:
             seen = np.zeros(1 << 20, bool)
             seen[self.index & 0xFFFFF] = True
             keys = []
-            for row, h in features(data, offsets):
+            for row, h in features(data, offsets, self.heads):
                 maybe = np.flatnonzero(seen[h & 0xFFFFF])
                 at = np.minimum(np.searchsorted(self.index, h[maybe]), len(self.index) - 1)
                 hit = self.index[at] == h[maybe]
@@ -76,15 +84,15 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(data: np.ndarray, offsets: np.ndarray, heads: tuple[int, ...] = Ftrl.heads) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, 32-bit hash) of words, their heads, pairs and skip-grams, with repeats."""
     w = tb.find_words(data, offsets, hashes=False)
     row, prefix = w.row_of(), tb.prefix_hashes(data)
     w.hash = tb.span_hash(prefix, w.start, w.end)
     yield row, _short(w.hash.copy(), 1)
-    for size, kind in ((4, 4), (6, 5)):
+    for size in heads:
         longer = np.flatnonzero(w.end - w.start > size)
-        yield row[longer], _short(tb.span_hash(prefix, w.start[longer], w.start[longer] + size), kind)
+        yield row[longer], _short(tb.span_hash(prefix, w.start[longer], w.start[longer] + size), 16 + size)
     for gap, kind in ((1, 2), (2, 3)):
         if len(row) > gap:
             same = np.flatnonzero(row[gap:] == row[:-gap])
@@ -97,8 +105,9 @@ def _short(h: np.ndarray, kind: int) -> np.ndarray:
     return (tb.mix64(h) >> np.uint64(32)).astype(np.uint32)
 
 
-def _row_features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    parts = list(features(data, offsets))
+def row_features(data: np.ndarray, offsets: np.ndarray, heads: tuple[int, ...] = Ftrl.heads) -> list[np.ndarray]:
+    """Per row the sorted distinct features."""
+    parts = list(features(data, offsets, heads))
     row, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     key = np.unique((row.astype(np.uint64) << np.uint64(32)) | h)
     cut = np.searchsorted(key >> np.uint64(32), np.arange(len(offsets)))
@@ -106,29 +115,20 @@ def _row_features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [low[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray, how: Ftrl) -> Model:
-    """FTRL-proximal over rows of feature hashes, in the given order, ``epochs`` times."""
+def coordinates(index: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where a row's features stand in the sorted ``index``; those that are not in it are left out."""
+    if not len(index):
+        return np.empty(0, np.int32)
+    at = np.minimum(np.searchsorted(index, row), len(index) - 1)
+    return at[index[at] == row].astype(np.int32)
+
+
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, size: int, how: Ftrl) -> tuple[np.ndarray, float]:
+    """Weights of ``size`` coordinates and the intercept: FTRL-proximal over rows of coordinates, in the
+    given order, ``epochs`` times.  The intercept has a rate of its own and no penalty."""
     share = labels.mean() if len(labels) else 0.5
     bias = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-    # a counting sketch first: most features are too rare and never get a coordinate
-    counts = np.zeros(1 << 24, np.uint8)
-    for r in rows:
-        slot = r & 0xFFFFFF
-        counts[slot] = np.where(counts[slot] < 255, counts[slot] + 1, 255)
-    for i, r in enumerate(rows):  # in place: the rare ones are freed row by row
-        rows[i] = r[counts[r & 0xFFFFFF] >= how.min_count]
-    del counts
-    held = np.concatenate(rows) if rows else np.empty(0, np.uint32)
-    held.sort()
-    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.empty(0, np.int64)
-    index = held[first][np.diff(np.append(first, len(held))) >= how.min_count]
-    del held, first
-    coords = []
-    for r in rows:
-        at = np.searchsorted(index, r)
-        at[at == len(index)] = 0
-        coords.append(at[index[at] == r].astype(np.int32) if len(index) else np.empty(0, np.int32))
-    z, n = np.zeros(len(index)), np.zeros(len(index))
+    z, n = np.zeros(size), np.zeros(size)
     zb, nb = 0.0, 0.0
 
     def weights(z, n):
@@ -136,7 +136,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, how: Ftrl) -> Model:
 
     b = bias
     for _ in range(how.epochs):
-        for c, y in zip(coords, labels):
+        for c, y in zip(rows, labels):
             zc, nc = z[c], n[c]
             wc = weights(zc, nc)
             p = 1.0 / (1.0 + np.exp(-np.clip(b + wc.sum(), -40, 40)))
@@ -148,9 +148,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, how: Ftrl) -> Model:
             zb += g - sigma * (b - bias)
             nb += g * g
             b = bias - zb / ((how.beta + np.sqrt(nb)) / how.alpha)
-    w = weights(z, n)
-    on = np.flatnonzero(w)
-    return Model(index[on], w[on], b)
+    return weights(z, n), b
 
 
 def train(
@@ -163,6 +161,7 @@ def train(
     usable: Column | None = None,
     max_positive: int = MAX_POSITIVE,
     max_negative: int = MAX_NEGATIVE,
+    max_features: int = MAX_FEATURES,
     how: Ftrl = Ftrl(),
 ) -> Model:
     """Fits a model on the bounded sample of labelled rows; ``usable`` filters ``labels`` first."""
@@ -176,53 +175,66 @@ def train(
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = (total.get(1, 0) + 0.5) / (total.get(0, 0) + total.get(1, 0) + 1)
     if not total.get(0) or not total.get(1):
-        return Model(bias=float(np.log(share / (1 - share))))
+        return Model(bias=float(np.log(share / (1 - share))), heads=how.heads)
     order = F.xxhash64("id")
     sample = (
         known.filter("y = 1").orderBy(order, "id").limit(max_positive)
         .unionByName(known.filter("y = 0").orderBy(order, "id").limit(max_negative))
     )  # at most max_positive + max_negative narrow rows, so it may be broadcast
-    rows = texts.join(F.broadcast(sample), "id").mapInArrow(lean(_featurise), "o long, id string, y int, f binary")
+    made = texts.join(F.broadcast(sample), "id").withColumn("o", F.xxhash64("id", F.lit(17))).mapInArrow(lean(_featurise(how.heads)), "o long, id string, y int, size long, f binary")
+    rows = stash(made.groupBy("id").agg(F.min(F.struct("size", "f", "o", "y")).alias("r")).select("id", "r.*"), "toxicity-rows")
+    used = F.sum("size").over(Window.partitionBy("y").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    narrow = rows.select("id", "y", "o", "size").withColumn("used", used).filter((F.col("used") <= max_features) | (F.col("used") == F.col("size"))).select("id")
+    rows = rows.join(F.broadcast(narrow), "id")  # as many ids as the sample has
+
+    counted = rows.select("f").mapInArrow(lean(_count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= how.min_count)
+    index = np.sort(counted.select("h").toArrow()["h"].to_numpy()).astype(np.uint32)  # at most 2 * max_features / min_count
+    held = spark.sparkContext.broadcast(index)
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [coordinates(held.value, np.frombuffer(f.as_buffer(), np.uint32)).tobytes() for f in batch.column("f")]
+            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("id"), batch.column("y"), pa.array(own, pa.binary())], ["o", "id", "y", "c"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        rows, labels = [], []
         for batch in batches:
-            o, i, y = (batch.column(c).to_pylist() for c in range(3))
-            for k in range(batch.num_rows):
-                held.append((o[k], i[k], y[k], np.frombuffer(batch.column(3)[k].as_buffer(), np.uint32).copy()))
-        held.sort(key=lambda r: (r[0], r[1], len(r[3])))
-        labels = np.array([r[2] for r in held], float)
-        rows = [r[3] for r in held]
-        del held
-        model = fit_rows(rows, labels, how)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *model.index.tolist()], pa.int64()), pa.array([model.bias, *model.weight.tolist()], pa.float64())], ["i", "w"]
-        )
-
-    fitted = sorted((r["i"], r["w"]) for r in rows.repartition(1).mapInArrow(lean(fit), "i long, w double").collect())
-    if not fitted:
-        return Model(bias=float(np.log(share / (1 - share))))
-    used = {1: min(total[1], max_positive), 0: min(total[0], max_negative)}
-    shift = np.log(total[1] / total[0]) - np.log(used[1] / used[0])
-    return Model(np.array([i for i, _ in fitted[1:]], np.uint32), np.array([w for _, w in fitted[1:]]), fitted[0][1] + float(shift))
-
-
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            labels += batch.column("y").to_pylist()
+            rows += [np.frombuffer(c.as_buffer(), np.int32).copy() for c in batch.column("c")]
+        w, bias = fit_rows(rows, np.array(labels, float), len(held.value), how)
+        on = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *held.value[on].tolist()], pa.int64()), pa.array([bias, *w[on].tolist()], pa.float64()), pa.array([sum(labels)] * (len(on) + 1), pa.float64()), pa.array([len(labels)] * (len(on) + 1), pa.float64())], ["i", "w", "ones", "rows"])
+
+    placed = rows.mapInArrow(lean(located), "o long, id string, y int, c binary")
+    fitted = sorted((r["i"], r["w"], r["ones"], r["rows"]) for r in placed.repartition(1).sortWithinPartitions("o", "id").mapInArrow(lean(fit), "i long, w double, ones double, rows double").collect())
+    drop_stash(rows)
+    held.unpersist()
+    if not fitted or not fitted[0][2] or fitted[0][2] == fitted[0][3]:  # no text, or texts of one label alone
+        return Model(bias=float(np.log(share / (1 - share))), heads=how.heads)
+    ones, zeros = fitted[0][2], fitted[0][3] - fitted[0][2]
+    shift = np.log(total[1] / total[0]) - np.log(ones / zeros)
+    return Model(np.array([r[0] for r in fitted[1:]], np.uint32), np.array([r[1] for r in fitted[1:]]), fitted[0][1] + float(shift), how.heads)
+
+
+def _featurise(heads: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").cast(pa.string())
+            data, offsets = tb.buffer(batch.column("text"))
+            for lo, hi in tb.pieces(offsets):
+                rows = row_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], heads)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("o").slice(lo, hi - lo), ids.slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                    ["o", "id", "y", "size", "f"],
+                )
+
+    return run
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("id").cast(pa.string())
-        data, offsets = tb.buffer(batch.column("text"))
-        for lo, hi in tb.pieces(offsets):
-            rows = _row_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            own = ids.slice(lo, hi - lo)
-            order = [int.from_bytes(tb.mix64(np.array([_of(x)], np.uint64)).tobytes()[:7], "little") for x in own.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order, pa.int64()), own, batch.column("y").slice(lo, hi - lo), pa.array([r.tobytes() for r in rows], pa.binary())],
-                ["o", "id", "y", "f"],
-            )
-
-
-def _of(text: str) -> int:
-    return int.from_bytes(text.encode()[-8:].rjust(8, b"\0"), "little")
+        h, n = np.unique(np.concatenate([np.frombuffer(f.as_buffer(), np.uint32) for f in batch.column(0)] or [np.empty(0, np.uint32)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], ["h", "n"])
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:

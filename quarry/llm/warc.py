@@ -9,7 +9,9 @@ the revisit that a 304 may carry.
 
 Scale.  Only narrow columns take part in the as-of join.  It runs in two levels:
 inside slices of time of each URL, then over one row per slice, so that a URL that
-a third of all captures share is spread over as many tasks as it has slices.
+a third of all captures share is spread over as many tasks as it has slices.  Slices
+end at approximate quantiles of all times, so a few odd dates do not widen them
+(captures of one URL at one and the same time are one slice).
 Payloads and headers are fetched once, by record id, for what was resolved; a
 revisit's own headers by a hash of all that it says.
 DataFrame functions only.
@@ -17,7 +19,9 @@ DataFrame functions only.
 Defined cases.  ``status`` is ``resolved``, ``no_prior`` (no earlier response, or
 no URL), ``mismatch`` (validators differ) or ``no_validator`` (the revisit has
 none, or the response lacks the one it has); only resolved rows have a payload,
-the others keep their own headers.  Equal times are ordered by record id, of
+the others keep their own headers.  Of header names that differ in case alone the
+last counts; null headers are none.  Times are compared in their own type.  Equal
+times are ordered by record id, of
 repeated record ids one response counts; every revisit row gives a row, also if
 its id is null or repeated.  Records of other types are ignored.
 """
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 TRACKING = "^(utm_[a-z]+|ref|gclid|fbclid|sessionid|sid)(=|$)"
 _SITE = "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?]*)"
-SLICES = 4096
+SLICES = 256
 
 
 def canonical_url(url: Column) -> Column:
@@ -50,23 +54,41 @@ def _header(name: str) -> Column:
     return F.element_at("headers", name)
 
 
+def _lower_names(headers: Column) -> Column:
+    """The map with names in lower case; of equal ones the last entry."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(F.map_keys(headers), F.lower)
+    later = lambda e, i: F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
+
+
+def _slice_of(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are at most ``value``, by a tree of comparisons."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(bounds))
+
+
 def resolve_revisits(records: DataFrame, *, slices: int = SLICES) -> DataFrame:
     """``record_id, url_key, status, resolved_id, headers, payload`` for every revisit of
     ``records(record_id, record_type, url, ts, headers map<string,string>, payload)``;
     header names are compared in lower case, ``ts`` is a number or a timestamp."""
-    ts = F.col("ts").cast("double") if dict(records.dtypes)["ts"] != "timestamp_ntz" else F.col("ts").cast("timestamp").cast("double")
-    lower = F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    kind = dict(records.dtypes)["ts"]
+    number = F.col("ts").cast("timestamp").cast("double") if kind in ("timestamp_ntz", "date") else F.col("ts").cast("double")
     rows = records.filter(F.col("record_type").isin("response", "revisit")).select(
-        "record_id", (F.col("record_type") == "response").alias("full"), canonical_url(F.col("url")).alias("url_key"), ts.alias("ts"), lower.alias("headers"), "payload"
+        "record_id", (F.col("record_type") == "response").alias("full"), canonical_url(F.col("url")).alias("url_key"), "ts", _lower_names(F.col("headers")).alias("headers"), "payload"
     )
     # what a revisit says, so that its own headers are found again: ids can be null or repeated
     said = F.xxhash64("record_id", "url_key", "ts", F.array_sort(F.map_entries("headers")))
     rows = rows.withColumn("key", F.when(~F.col("full"), said))
     narrow = rows.select("record_id", "full", "url_key", "ts", F.regexp_replace(_header("etag"), "^W/", "").alias("etag"), _header("last-modified").alias("modified"), "key")
-    bounds = narrow.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    low, high = (bounds["a"] or 0.0, bounds["b"] or 0.0)
-    cut = F.least(F.lit(slices - 1), F.floor((F.col("ts") - low) * (slices / max(high - low, 1e-9))).cast("int"))
-    narrow = narrow.withColumn("slice", cut)
+    bounds = narrow.agg(F.percentile_approx(number, [i / slices for i in range(1, slices)]).alias("b")).first()["b"]
+    narrow = narrow.withColumn("slice", _slice_of(number, sorted(set(bounds or []))))
 
     found = F.struct("ts", "record_id", "etag", "modified")
     known = narrow.filter("url_key is not null and ts is not null")
