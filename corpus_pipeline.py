@@ -2,7 +2,8 @@
 
 ``run(spark, sf_dir)`` applies ``STAGES`` in order.  Each stage gets all that the
 one before kept, as a table written to the folder in spark.checkpoint.dir and
-read again, so a lost executor never costs more than a stage's own work.
+read again, so a lost executor never costs more than a stage's own work.  A stage's
+working tables, and the table that it has read, are deleted when its own is written.
 
 1.  toxicity: fitted on the labels of the documents at hand; documents predicted
     toxic go.
@@ -16,7 +17,9 @@ read again, so a lost executor never costs more than a stage's own work.
 5.  best-fit packing: the pieces of what is left, with their sequence and offset.
 
 A document with a null or empty text is neither toxic nor a duplicate; it goes
-in stage 2.  Extra columns of the input are carried through stages 1 to 4.
+in stage 2.  Extra columns of the input are carried through stages 1 to 4.  Empty
+tables are no error: without documents there are no pieces, without labels none is
+toxic, without languages all documents go in stage 2, without a benchmark none is cut.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard, langid, packing, toxicity
-from quarry.llm.shared import fresh_path, stash, table
+from quarry.llm.shared import delete, fresh_path, scratch, stash, table
 
 #: SQL cannot express the fitted models; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -72,9 +75,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
