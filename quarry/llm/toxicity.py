@@ -25,7 +25,7 @@ Defined cases.  Null and empty texts have no features and get the intercept's
 score.  An id with several labels counts as toxic if one of them is 1; null
 labels are ignored.  An id with several rows teaches the one with the fewest
 features.  Without labels of both classes the model has no weights
-and scores each text with the smoothed share of label 1.  Other columns are
+and scores each text with the share of label 1, smoothed to a quarter.  Other columns are
 never read.
 """
 
@@ -173,7 +173,7 @@ def train(
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = (total.get(1, 0) + 0.5) / (total.get(0, 0) + total.get(1, 0) + 1)
+    share = (total.get(1, 0) + 0.5) / (total.get(0, 0) + total.get(1, 0) + 2)  # a quarter without any label
     if not total.get(0) or not total.get(1):
         return Model(bias=float(np.log(share / (1 - share))), heads=how.heads)
     order = F.xxhash64("id")

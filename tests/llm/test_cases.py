@@ -1,0 +1,368 @@
+"""Awkward rows, repeats, clashes and plain re-computations, operator by operator."""
+
+import hashlib
+import itertools
+import random
+import time
+import zlib
+from decimal import Decimal
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import chat, compaction, decontaminate, langid, licenses, media, packing, queries, toxicity, warc
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def _text(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+# op1
+
+RECORD = "record_id long, record_type string, url string, ts {}, headers map<string,string>, payload string"
+
+
+def test_header_names_that_differ_in_case(spark):
+    rows = [(1, "response", "http://a.b/x", 1, {"ETag": '"old"', "etag": '"t"', "X": "1", "x": "2"}, "body"), (2, "revisit", "http://a.b/x", 2, {"ETAG": '"t"', "Etag": '"t"'}, None), (3, "revisit", "http://a.b/x", 3, None, None)]
+    # as lists first: a dict loses its order on the way to the JVM
+    held = spark.createDataFrame([(*r[:4], list(r[4]) if r[4] else None, list(r[4].values()) if r[4] else None, r[5]) for r in rows], RECORD.format("long").replace("headers map<string,string>", "k array<string>, v array<string>"))
+    got = {r["record_id"]: r for r in warc.resolve_revisits(held.withColumn("headers", F.map_from_arrays("k", "v"))).collect()}
+    assert got[2]["status"] == "resolved" and got[2]["headers"] == {"etag": '"t"', "x": "2"} and got[3]["status"] == "no_validator"
+
+
+def test_times_in_nanoseconds_and_an_outlier(spark):
+    base = 1_700_000_000_000_000_000
+    rows = [(0, "response", "http://a.b/x", 5, {"ETag": '"t"'}, "first")]
+    rows += [(i, "response" if i % 2 else "revisit", "http://a.b/x", base + i, {"ETag": '"t"'}, f"b{i}" if i % 2 else None) for i in range(1, 400)]
+    rows += [(900, "revisit", "http://a.b/x", 2**62, {"ETag": '"t"'}, None), (901, "revisit", "http://a.b/x", None, {"ETag": '"t"'}, None)]
+    got = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORD.format("long")), slices=16).collect()}
+    assert all(got[i]["payload"] == f"b{i - 1}" for i in range(2, 400, 2)) and got[900]["payload"] == "b399" and got[901]["status"] == "no_prior"
+    assert warc.resolve_revisits(spark.createDataFrame([], RECORD.format("timestamp"))).count() == 0
+
+
+# op2
+
+
+def test_samples_out_of_range_are_one_rows_error(spark):
+    bad = [b"P2 1 1 255 300", b"P3 1 1 9 1 2 10", b"P5 2 1 100\n\x01\xff", b"P2 1 1 70000 1", b"P2 1 1 255 " + b"9" * 5000, b"P5 1 1 300\n\x02\x00", b"P1 2 1 1"]
+    rows = [*enumerate([*bad, b"P2 2 1 300 300 7", b"P5 2 1 100\n\x01\x64"])]
+    got = {r["id"]: r for r in media.media_tiles(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id int, media binary")).collect()}
+    assert all(got[i]["error"] and got[i]["samples"] is None for i in range(len(bad)))
+    assert bytes(got[len(bad)]["samples"]) == (300).to_bytes(2, "little") + (7).to_bytes(2, "little") and got[len(bad) + 1]["error"] is None
+    assert media.media_tiles(spark.createDataFrame([], "id int, media binary")).count() == 0
+    with pytest.raises(ValueError):
+        media.media_tiles(spark.createDataFrame([], "media binary, Tile int"))
+
+
+@pytest.mark.parametrize("shape", [(1, 700), (700, 1), (37, 50, 3), (64, 9)])
+def test_resize_by_strips_equals_the_whole(shape):
+    image = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
+    whole = media.area_resize(image, 8, 9)
+    for strip in (1, 64, 1000):
+        assert np.allclose(media.area_resize(image, 8, 9, strip), whole)
+    assert np.isclose(whole.mean(), image.mean())
+
+
+def test_media_query_digests(spark, tmp_path):
+    texts = [None, "", "é" * 31, "x" * 64, "y" * 65, "long " * 5000, "x" * 64]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_media_columns(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert got[3][1:] == got[6][1:]
+
+
+# op3
+
+
+def test_pieces_have_the_ids_and_places_of_the_contract(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = [None, "", "one", _text(rng, 9000), _text(rng, 4000), *(_text(rng, rng.randint(1, 900)) for _ in range(40))]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_best_fit_packing(spark, str(tmp_path)).collect()
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, sums, places = {}, 0, {}
+    for i, t in enumerate(texts):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, packing.END]
+        sums += len(ids)
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want[i, k // 4096] = (k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(o == sum(n for _, n in sorted(p)[:k]) and sum(n for _, n in p) <= 4096 for p in places.values() for k, (o, _) in enumerate(sorted(p)))
+    assert len(places) <= -(-sums // 4096) + 1
+    assert packing.pack(packing.tokenize(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+
+
+# op4
+
+
+def _plain_ftrl(rows, labels, size, how):
+    """One coordinate and one row at a time, as the paper's algorithm is written."""
+    z, n, w, zb, nb = [0.0] * size, [0.0] * size, [0.0] * size, 0.0, 0.0
+    share = sum(labels) / len(labels)
+    base = b = np.log((share + 1e-9) / (1 - share + 1e-9))
+    weight = lambda i: 0.0 if abs(z[i]) <= how.l1 else -(z[i] - np.sign(z[i]) * how.l1) / ((how.beta + np.sqrt(n[i])) / how.alpha + how.l2)
+    for _ in range(how.epochs):
+        for row, y in zip(rows, labels):
+            for i in row:
+                w[i] = weight(i)
+            g = 1 / (1 + np.exp(-(b + sum(w[i] for i in row)))) - y
+            for i in row:
+                sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / how.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / how.alpha * (b - base)
+            nb += g * g
+            b = base - zb / ((how.beta + np.sqrt(nb)) / how.alpha)
+    return [weight(i) for i in range(size)], b
+
+
+def test_ftrl_equals_the_plain_algorithm():
+    rng = random.Random(7)
+    rows = [np.array(sorted(rng.sample(range(60), rng.randint(0, 12))), np.int32) for _ in range(300)]
+    labels = np.array([float(bool({3, 4} & {*r.tolist()}) or rng.random() < 0.05) for r in rows])
+    how = toxicity.Ftrl(alpha=0.5, l1=0.7, l2=0.1, epochs=2)
+    w, b = toxicity.fit_rows(rows, labels, 60, how)
+    plain, plain_b = _plain_ftrl([r.tolist() for r in rows], labels.tolist(), 60, how)
+    assert np.allclose(w, plain) and np.isclose(b, plain_b) and 0 < np.count_nonzero(w) < 60
+
+
+def test_toxicity_of_repeated_ids_and_bounded_features(spark):
+    rng = random.Random(8)
+    rows = [(i, _text(rng, 30) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, "w1 w2")] * 500 + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, toxic int")
+    wide, narrow = (toxicity.train(docs, labels, max_features=n) for n in (1 << 25, 8000))
+    assert len(wide.index) and {*wide.index.tolist()} != {*narrow.index.tolist()}
+    got = toxicity.score(docs, wide).collect()
+    assert len(got) == 801 and np.mean([r["predicted"] == int(r["doc_id"] % 3 == 0) for r in got if r["doc_id"] > 2]) > 0.97
+    again = toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert again.index.tolist() == wide.index.tolist() and np.allclose(again.weight, wide.weight)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.train(empty, labels).bias < 0 and toxicity.score(empty, wide).count() == 0
+
+
+# op5
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,2)", "string", "date"])
+def test_conversation_ids_of_any_type_and_windows_in_any_order(spark, kind):
+    rng = random.Random(9)
+    ids = {"smallint": [1, 2, None], "decimal(9,2)": [Decimal("1.50"), Decimal("2.00"), None], "string": ["a", "b", None], "date": [__import__("datetime").date(2020, 1, d) for d in (1, 2)]}[kind]
+    rows = [(c, t, ("user", "assistant")[t % 2], _text(rng, 40) + "<|im_end|>\\") for c in ids for t in range(30)] + [(ids[0], 3, "assistant", None), (ids[0], None, "system", "first")]
+    frame = spark.createDataFrame(rows, f"conv_id {kind}, turn int, role string, text string")
+    made = chat.format_windows(frame, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, budget=300, history=60)
+    got = {r["conv_id"]: r for r in chat.read_back(made.repartition(7)).collect()}
+    assert got == {r["conv_id"]: r for r in chat.read_back(made, in_order=True).collect()} and len(got) == len(ids)
+    for c in ids:
+        own = sorted(((t if t is not None else -1, r, x or "") for i, t, r, x in rows if i == c), key=lambda r: (r[0], r[1], r[2]))
+        turns = hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        loss = "".join(x for _, r, x in own if r == "assistant")
+        want = (len(own), turns, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == want
+    assert chat.read_back(chat.format_windows(frame.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)).count() == 0
+
+
+def _plain_windows(sizes, budget, history, system):
+    """Which turns are new in each window and how many old ones it repeats, by looking at all turns."""
+    out, at = [], 0
+    while at < len(sizes):
+        past = []
+        if at:
+            k = at
+            while k > (1 if system else 0) and sum(sizes[k - 1 : at]) <= history:
+                k -= 1
+            past = list(range(k, at))
+            while past and sizes[at] > budget - (sizes[0] if system else 0) - sum(sizes[i] for i in past):
+                past.pop(0)
+        used = (sizes[0] if system and at else 0) + sum(sizes[i] for i in past)
+        new = [at]
+        while new[-1] + 1 < len(sizes) and used + sum(sizes[i] for i in new) + sizes[new[-1] + 1] <= budget:
+            new.append(new[-1] + 1)
+        out.append((len(past) + (1 if system and at else 0), len(new)))
+        at = new[-1] + 1
+    return out
+
+
+def test_windows_equal_a_plain_choice():
+    rng = random.Random(10)
+    for _ in range(200):
+        sizes = [rng.choice([1, 5, 20, 90, 300]) for _ in range(rng.randint(1, 30))]
+        system = rng.random() < 0.5
+        turns = [("system" if system and i == 0 else "user", "", n) for i, n in enumerate(sizes)]
+        got = [(w[0], w[1]) for w in chat.windows_of(iter(turns), 200, 60)]
+        assert got == _plain_windows(sizes, 200, 60, system), (sizes, system)
+
+
+# op6
+
+
+def test_empty_arrivals_make_a_version(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op6_sharding(spark, str(tmp_path)).count() == 0
+
+
+def test_vacuum_spares_what_a_writer_is_about_to_commit(spark, tmp_path, monkeypatch):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store", target=1 << 20, smallest=1 << 10)
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    for _ in range(4):
+        store.append(docs, rows_per_shard=5)
+    commit = store._commit
+
+    def late(*args):
+        store.vacuum(keep=0)  # between a writer's files and its manifest
+        return commit(*args)
+
+    monkeypatch.setattr(store, "_commit", late)
+    store.append(docs)
+    monkeypatch.undo()
+    assert store.read().count() == 250
+    stale = store.manifest()
+    store.compact()
+    assert store.vacuum() == 0 and store.read(stale["version"]).count() == 250  # superseded a moment ago
+    time.sleep(1.1)
+    assert store.vacuum(keep=1) > 0 and store.read().count() == 250
+    store.append(docs)
+    time.sleep(1.1)
+    store.vacuum(keep=1)
+    with pytest.raises(RuntimeError):
+        commit(stale["version"], docs.schema.json(), [])
+    assert store.vacuum(pending=0) == 0 and store.read().count() == 300
+
+
+def test_compaction_plans_cascades_once(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store", target=1 << 20, smallest=1 << 10, ratio=4, fan_in=4)
+    shards = [compaction.Shard(f"s{i:03}", 1200, "") for i in range(16)] + [compaction.Shard(f"m{i}", 20_000, "") for i in range(3)] + [compaction.Shard("big", 900_000, "")]
+    runs = store.runs(shards)
+    assert len(runs) == 1 and {s.path for s in runs[0]} == {s.path for s in shards if s.path != "big"}
+    assert store.runs([s for s in shards if s.path.startswith("m")]) == []
+
+
+# op8
+
+
+def test_licences_of_repeats_and_empty_tables(spark):
+    line = "Released under the MIT License."
+    frame = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line), (3, "é" * 9)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["licences"]) for r in licenses.licences(frame).collect()), key=str)
+    assert [x for x in got if x[0] in (1, 2)] == [(1, ["MIT-line"]), (1, ["MIT-line"]), (2, ["MIT-line"])] and len(got) == 5
+    assert licenses.licences(frame.limit(0)).count() == 0
+
+
+# op9
+
+
+def test_every_language_is_learned_under_repeats(spark):
+    rng = random.Random(11)
+    base = [(i, " ".join(f"l{i}x{rng.randrange(30)}" for _ in range(20)), f"lang{i:02}") for i in range(12)]
+    docs = spark.createDataFrame(base * 2000, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"), rounds=1)
+    assert model.langs == [f"lang{i:02}" for i in range(12)]
+    empty = langid.train(docs.limit(0), public_tokenizers.path("piece_bpe_32k.model"))
+    assert empty.langs == [] and {r["lang_pred"] for r in langid.predict(docs.limit(3), empty).collect()} == {"und"}
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_expectation_maximisation_equals_summing_segmentations():
+    pieces = langid.Pieces(sorted({b" a", b"b", b"ab", b" ab", b"a", b" ", b"c", b"bc"}))
+    words, counts = [b"abc", b"ab", b"cab"], np.array([3.0, 2.0, 1.0])
+
+    def cuts(s):
+        return [[]] if not s else [[s[:k], *rest] for k in range(1, len(s) + 1) if s[:k] in pieces.pieces for rest in cuts(s[k:])]
+
+    p = {x: 1 / len(pieces.pieces) for x in pieces.pieces}
+    for _ in range(3):
+        expected = dict.fromkeys(pieces.pieces, 0.1)
+        for word, n in zip(words, counts):
+            ways = [(c, np.prod([p[x] for x in c])) for c in cuts(b" " + word)]
+            for c, weight in ways:
+                for x in c:
+                    expected[x] += n * weight / sum(w for _, w in ways)
+        p = {x: v / sum(expected.values()) for x, v in expected.items()}
+    assert np.allclose(langid.fit_pieces(pieces, words, counts, rounds=3), [p[x] for x in pieces.pieces])
+
+
+# op10
+
+
+def test_contamination_of_short_items_and_ties(spark):
+    words = [f"b{i}" for i in range(60)]
+    docs = [(1, " ".join(words[:20] + ["x"] * 400)), (1, " ".join(words[:20])), (None, "a b c"), (2, "A  B-c d"), (3, "x " * 39 + "a b c"), (4, "x " * 57 + "a b c"), (5, "x " * 58 + "a b c")]
+    items = [("10", " ".join(words[:13])), ("9", " ".join(words[7:20])), ("s", "a b c"), ("s", "a b c"), (None, "x x")]
+    got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    by = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in got), key=str)
+    assert by == sorted([(1, 420, 20, ["10", "9"], False), (1, 20, 20, ["10", "9"], True), (None, 3, 3, ["s"], True), (2, 4, 3, ["s"], True), (3, 42, 3, ["s"], True), (4, 60, 3, ["s"], True), (5, 61, 3, ["s"], False)], key=str)
+
+
+# the pipeline
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    tables = {"documents": schema, "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, kind in tables.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/{name}.parquet")
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/some/{name}.parquet") if name != "documents" else None
+    rows = [(1, "some words here", None, None, None), (1, "some words here", "en", "s", 3), (None, None, None, None, None), (2, "", "en", "s", 0)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/some/documents.parquet")
+    for where, n in (("none", 0), ("some", 2)):
+        docs = spark.read.parquet(f"{tmp_path}/{where}/documents.parquet")
+        for name, stage in itertools.islice(corpus_pipeline.STAGES, 4):
+            out = stage(spark, docs, f"{tmp_path}/{where}")
+            assert out.columns == docs.columns, name
+            out.collect()
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert [r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()] == [1]
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Each stage's rows against a decision made in plain Python from the stage's own model."""
+    import corpus_pipeline
+    import re
+
+    rng = random.Random(13)
+    item = _text(rng, 40)
+    rows = [(i, _text(rng, rng.randint(10, 200)) + (" vile" if i % 5 == 0 else ""), "en" if i % 2 else "fr", "s", 0) for i in range(150)]
+    rows = [(i, t if lang == "en" else t.replace("w", "éà"), lang, s, n) for i, t, lang, s, n in rows]
+    rows += [(200 + i, rows[i][1] + " tail", "en", "s", 0) for i in range(20)] + [(300, "1234 5678", "en", "s", 0), (301, _text(rng, 600) + " " + item, "en", "s", 0), (302, item + " " + _text(rng, 50), "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    keep = {i: t for i, t, *_ in rows}
+
+    left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert left == {i for i, t in keep.items() if "vile" not in t}
+    left = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs, str(tmp_path)).collect()}
+    assert left == set(keep) - {300}
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    grams = {i: {tuple(w[k : k + min(5, len(w))]) for w in [re.findall("[0-9a-zà-ÿ]+", t)] for k in range(len(w) - min(5, len(w)) + 1)} for i, t in keep.items()}
+    gone = {200 + i for i in range(20) if 10 * len(grams[i] & grams[200 + i]) >= 8 * len(grams[i] | grams[200 + i])}
+    assert left == set(keep) - gone and len(gone) > 10
+    cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path)).collect()}
+    assert set(cut) == set(keep) - {301, 302} or (302 not in cut and item not in cut[301][0])
+    assert all(n == len(t) for t, n in cut.values())
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(keep) and all(r["length"] > 0 for r in packed)
+
+
+def test_vacuum_in_the_query_leaves_rows_whole(spark, tmp_path):
+    rng = random.Random(14)
+    spark.createDataFrame([(i, _text(rng, 20), "en", f"s{i % 9}", 1) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op6_sharding(spark, str(tmp_path))
+    assert out.count() == 400 and out.select(F.sum("doc_id")).first()[0] == 400 * 399 // 2
