@@ -22,9 +22,11 @@ def _parser() -> argparse.ArgumentParser:
     build.add_argument("pack")
     build.add_argument("--name", default="pack")
     found = sub.add_parser("retrieve", help="ranked passages for questions")
-    found.add_argument("input")
+    found.add_argument("input", nargs="?", help="articles; or give packs")
+    found.add_argument("--pack", action="append", default=[], help="a written pack; several are searched together")
     found.add_argument("--question", action="append", required=True)
     found.add_argument("--k", type=int, default=10)
+    found.add_argument("--no-entities", action="store_true")
     score = sub.add_parser("score", help="summary of a result file by category")
     score.add_argument("results")
     info = sub.add_parser("info", help="manifest and size of packs")
@@ -35,14 +37,25 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quarry").getOrCreate()
-    if args.command in ("build", "retrieve"):
+    if args.command == "retrieve" and bool(args.input) == bool(args.pack):
+        raise SystemExit("retrieve takes articles or packs")
+    if args.command == "build" or args.command == "retrieve" and args.input:
         rows = ingest.articles(spark.read.parquet(args.input))
     if args.command == "build":
         packs.write_pack(rows, args.pack, args.name)
     elif args.command == "retrieve":
         asked = spark.createDataFrame(list(enumerate(args.question)), "qid long, question string")
-        hits = retrieve.retrieve(asked, rows, k=args.k)
-        hits.join(ingest.passages(rows).select("chunk_id", "title"), "chunk_id").select("qid", "rank", "title", F.round("score", 4).alias("score")).orderBy("qid", "rank").show(args.k * len(args.question), truncate=False)
+        if args.pack:
+            hits = retrieve.retrieve_from_packs(asked, {p: p for p in args.pack}, k=args.k, entities=not args.no_entities)
+            titles = None
+            for p in args.pack:
+                own = spark.read.parquet(f"{p}/docs").select(F.lit(p).alias("pack_id"), F.col("id").alias("doc_id"), "title")
+                titles = own if titles is None else titles.unionByName(own)
+            named = hits.join(titles, ["pack_id", "doc_id"]).select("qid", "rank", "pack_id", "title", F.round("score", 4).alias("score"))
+        else:
+            hits = retrieve.retrieve(asked, rows, k=args.k, entities=not args.no_entities)
+            named = hits.join(rows.select("doc_id", "title"), "doc_id").select("qid", "rank", "title", F.round("score", 4).alias("score"))
+        named.orderBy("qid", "rank").show(args.k * len(args.question), truncate=False)
     elif args.command == "score":
         verify.bench_summary(articles.read_results(spark, args.results, RESULT)).orderBy("category").show(truncate=False)
     else:

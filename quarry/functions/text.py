@@ -188,6 +188,17 @@ def match_terms(terms: Column, joint: str) -> Column:
     return F.array_join(quoted, f" {joint} ")
 
 
+def format_ms(ms: Column) -> Column:
+    """Milliseconds below a second, else seconds with one digit."""
+    return F.when(ms < 1000, F.concat(ms.cast("long").cast("string"), F.lit(" ms"))).otherwise(F.format_string("%.1f s", ms / 1000.0))
+
+
+def format_bytes(n: Column) -> Column:
+    """GB with two digits, or whole MB or KB."""
+    n = n.cast("double")
+    return F.when(n >= 1 << 30, F.format_string("%.2f GB", n / (1 << 30))).when(n >= 1 << 20, F.format_string("%.0f MB", n / (1 << 20))).otherwise(F.format_string("%.0f KB", n / 1024))
+
+
 def truncate_middle(tokens: Column, budget: int) -> Column:
     """The first third of a token budget and the rest from the end."""
     head = budget // 3

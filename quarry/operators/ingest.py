@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..storage import cut
 
 #: Chunk ids leave room for this many chunks in a document; they grow in document order.
 CHUNKS_PER_DOC = 1_000_000
@@ -99,10 +100,12 @@ def chunk_paragraphs(paras: list[str], target: int = TARGET_WORDS, most: int = M
     yield from flush()
 
 
-def chunks(rows: DataFrame, *, target: int = TARGET_WORDS, most: int = MAX_WORDS, lead_only_under: int = 0) -> DataFrame:
+def chunks(rows: DataFrame, *, target: int = TARGET_WORDS, most: int = MAX_WORDS, lead_only_under: int = 0, lead_only_after: int = 0) -> DataFrame:
     """``chunk_id, doc_id, ord, section, text``; map-only.
 
-    Of articles with fewer than ``lead_only_under`` words only the first two chunks are kept.
+    Of articles with fewer than ``lead_only_under`` words, and of those whose id is above
+    ``lead_only_after`` (if it is not 0; ids of ``dense_ids`` count articles), only the first two chunks are kept.
+    Ids are integers up to 9.2e12; ``dense_ids`` numbers articles whose ids are not.
     Chunk ids are contiguous within a document and ordered like documents.
     """
 
@@ -111,7 +114,7 @@ def chunks(rows: DataFrame, *, target: int = TARGET_WORDS, most: int = MAX_WORDS
             out = []
             for doc, paras, words in zip(*(c.to_pylist() for c in batch.columns)):
                 for i, (section, text) in enumerate(chunk_paragraphs(paras or [], target, most)):
-                    if i < 2 or words >= lead_only_under:
+                    if i < 2 or words >= lead_only_under and not 0 < lead_only_after < doc:
                         out.append((doc * CHUNKS_PER_DOC + i, doc, i, section, text))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))], ["chunk_id", "doc_id", "ord", "section", "text"])
@@ -126,6 +129,43 @@ def passages(rows: DataFrame) -> DataFrame:
     )
 
 
+def scope(chunks: DataFrame, docs: DataFrame, spec: str) -> DataFrame:
+    """``chunk_id`` of the chunks that ``spec`` names: ``all``, or a union by commas of ``lead:n`` (the first n
+    chunks of each document), ``top:m`` (all chunks of the m documents of the highest prior) and
+    ``toplead:m`` (the first chunk of those), for ``chunks(chunk_id, doc_id, ord)`` and ``docs(doc_id, prior)``."""
+    found = None
+    for part in (p.strip() for p in spec.split(",")):
+        kind, _, n = part.partition(":")
+        if kind not in ("all", "lead", "top", "toplead") or kind != "all" and not n.isdigit():
+            raise ValueError(f"no such scope: {part}")
+        own = chunks
+        if kind == "lead":
+            own = own.filter(F.col("ord") < int(n))
+        elif kind != "all":
+            own = own.join(docs.orderBy(F.desc("prior"), "doc_id").limit(int(n)).select("doc_id"), "doc_id", "left_semi")
+            own = own.filter("ord = 0") if kind == "toplead" else own
+        found = own.select("chunk_id") if found is None else found.unionByName(own.select("chunk_id"))
+    return found.distinct()
+
+
+def dense_ids(rows: DataFrame, order: list[str], out: str = "id") -> DataFrame:
+    """The rows with numbers from 1 in an order without ties, whatever the type of their ids.
+
+    Rows are range-partitioned and written; a number is a row's place in its partition after those of
+    the partitions before, of which only counts reach the driver.  No task sees more than a partition.
+    """
+    parted = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    held = cut(parted, "ordered")
+    counts = {r["__part"]: r["n"] for r in held.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for part in sorted(counts):
+        before.append((part, total))
+        total += counts[part]
+    first = F.broadcast(rows.sparkSession.createDataFrame(before, "__part int, __before long"))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return held.join(first, "__part").withColumn(out, place + F.col("__before")).drop("__part", "__before")
+
+
 def doc_table(rows: DataFrame, chunked: DataFrame) -> DataFrame:
     """``id, title, first_chunk, n_chunks, prior, words, url``; articles without a chunk are dropped."""
     by = chunked.groupBy("doc_id").agg(F.min("chunk_id").alias("first_chunk"), F.count("*").cast("int").alias("n_chunks"))

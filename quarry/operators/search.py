@@ -1,23 +1,32 @@
 """Lexical search over passages: tokens, BM25 of boolean and phrase queries, fusion, reranking.
 
 Every operator takes a *batch* of questions keyed by ``qid``: one plan answers all.
-Passages are ``chunk_id, doc_id, ord, title, section, text``.  Stemming happens on
-the distinct vocabulary, and only tokens whose stem some question has are grouped.
+Passages are ``chunk_id, doc_id, ord, title, section, text``.  A worker stems a distinct
+word once, and only tokens whose stem some question has leave it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.stem import stem_arrays, stem_vocabulary
-from ..storage import cut
+from ..functions.stem import stem, stem_arrays
+from ..storage import cut, small
 
 #: BM25 with the weights of title, section and body.
 WEIGHTS = {"title": 6.0, "section": 2.0, "text": 1.0}
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Terms up to which a stored index is filtered by literals.
+MAX_LITERALS = 5000
+#: Stems of one batch of questions at most: about 100 MB in a worker.
+MAX_STEMS = 1_000_000
 
 
 def index_tokens(text: Column) -> Column:
@@ -25,15 +34,6 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(tx.fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def tokens(passages: DataFrame) -> DataFrame:
-    """``chunk_id, len, col, pos, word, weight``: every token of a passage."""
-    parts = [F.struct(F.lit(c).alias("col"), F.lit(w).alias("weight"), index_tokens(F.col(c)).alias("words")) for c, w in WEIGHTS.items()]
-    held = passages.select("chunk_id", F.array(*parts).alias("parts"))
-    size = F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["words"]))
-    each = held.select("chunk_id", size.alias("len"), F.inline("parts"))
-    return each.select("chunk_id", "len", "col", "weight", F.posexplode("words").alias("pos", "word"))
-
-
 def corpus_stats(passages: DataFrame) -> DataFrame:
     """One row: ``n_chunks, avg_len``."""
     size = sum((F.size(index_tokens(F.col(c))) for c in WEIGHTS), F.lit(0))
@@ -41,18 +41,67 @@ def corpus_stats(passages: DataFrame) -> DataFrame:
 
 
 def term_df(passages: DataFrame, min_df: int = 2) -> DataFrame:
-    """``term, df``: chunks that hold a stemmed term in any column, for terms in ``min_df`` at least."""
-    found = tokens(passages).select("chunk_id", "word").distinct()
-    stems = stem_vocabulary(found)
-    return found.join(stems, "word").select("chunk_id", F.col("stem").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+    """``term, df``: chunks that hold a stemmed term in any column, for terms in ``min_df`` at least.
+
+    A chunk's distinct stems are made in place, so the one shuffle moves terms and partial counts.
+    """
+    found = F.array_distinct(F.concat(*(index_tokens(F.col(c)) for c in WEIGHTS)))
+    each = passages.select(F.explode(F.array_distinct(stem_arrays(found))).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+
+
+def matched(passages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """``chunk_id, len, col, weight, pos, stem``: the tokens whose stem is among ``terms(stem)`` (all tokens
+    without it), in one pass over the passages; and for each chunk a row without a stem.
+
+    Words are made by Catalyst; a worker stems each distinct word once.  What is broadcast are the
+    stems of a batch of questions, ``MAX_STEMS`` at most.
+    """
+    spark, wanted = passages.sparkSession, None
+    if terms is not None:
+        stems = terms.select("stem").distinct().limit(MAX_STEMS + 1).toArrow()["stem"].to_pylist()
+        if len(stems) > MAX_STEMS:
+            raise ValueError(f"over {MAX_STEMS} stems in one batch of questions: split the batch")
+        wanted = spark.sparkContext.broadcast(frozenset(stems))
+    words = passages.select("chunk_id", *(index_tokens(F.col(c)).alias(c) for c in WEIGHTS))
+    kind = passages.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
+        names = ["chunk_id", "len", "col", "weight", "pos", "stem"]
+
+        def rows(ids, size, col, weight, pos, stems):
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([ids, size, pa.array([col] * n, pa.string()), pa.array([weight] * n, pa.float64()), pos, stems], names)
+
+        for batch in batches:
+            size = pa.array(sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in batch.columns[1:]).astype(np.int32))
+            yield rows(batch.column(0), size, None, None, pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.string()))
+            for (col, weight), words in zip(WEIGHTS.items(), batch.columns[1:]):
+                coded = words.flatten().dictionary_encode()
+                own = coded.dictionary.to_pylist()
+                if len(known) > 2 * MAX_STEMS:
+                    known.clear()
+                for w in own:
+                    if w not in known:
+                        s = stem(w)
+                        known[w] = s if wanted is None or s in wanted.value else None
+                stems = pa.array([known[w] for w in own], pa.string())
+                code = coded.indices.to_numpy()
+                hit = np.flatnonzero(stems.is_valid().to_numpy(zero_copy_only=False)[code]) if len(code) else np.empty(0, np.int64)
+                length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(length)), length)[hit]
+                pos = hit - (np.cumsum(length) - length)[row]
+                if len(hit):
+                    yield rows(batch.column(0).take(pa.array(row)), size.take(pa.array(row)), col, weight, pa.array(pos.astype(np.int32)), stems.take(pa.array(code[hit])))
+
+    return words.mapInArrow(run, f"chunk_id {kind}, len int, col string, weight double, pos int, stem string")
 
 
 def postings(passages: DataFrame) -> DataFrame:
     """``term, chunk_id, len, freq, positions``: weighted frequency, and (col, pos) of each occurrence."""
-    found = tokens(passages)
-    stems = stem_vocabulary(found)
     return (
-        found.join(stems, "word").groupBy(F.col("stem").alias("term"), "chunk_id", "len")
+        matched(passages).filter("stem is not null").groupBy(F.col("stem").alias("term"), "chunk_id", "len")
         .agg(F.sum("weight").alias("freq"), F.array_sort(F.collect_list(F.struct("col", "pos"))).alias("positions"))
     )
 
@@ -67,27 +116,48 @@ def question_terms(questions: DataFrame) -> DataFrame:
 class Index:
     """What lists of hits share: the matching tokens of a passage table, their scores, its statistics.
 
-    Only tokens whose stem some question has are kept; they and their scores are
-    persisted (to disk where memory is short), as every list reads them.
+    The corpus is read once.  Only tokens whose stem some question has are kept, with a narrow
+    row for each chunk; they and their scores are persisted (to disk where memory is short), as
+    every list reads them.
     """
 
     def __init__(self, passages: DataFrame, terms: DataFrame) -> None:
         """``terms`` has the ``stem`` of every query term there is."""
-        self.passages, found = passages, tokens(passages)
-        wanted = terms.select("stem").distinct()
-        # written first, so that its size is known: small, it is broadcast to the tokens, which then are not shuffled
-        vocabulary = cut(stem_vocabulary(found).join(wanted, "stem", "left_semi"), "vocabulary")
-        row = corpus_stats(passages).first()
+        self.passages, self.held = passages, matched(passages, terms).persist()
+        row = self.held.filter("stem is null").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len")).first()
         self.n_chunks, self.avg_len = row["n_chunks"], row["avg_len"] or 1.0
-        self.places = found.join(vocabulary, "word").select("chunk_id", "len", "col", "weight", "pos", "stem").persist()
+        self.places = self.held.filter("stem is not null").select("stem", "chunk_id", "len", "col", "weight", "pos")
         freq = self.places.groupBy("stem", "chunk_id", "len").agg(F.sum("weight").alias("freq"))
         rows = freq.join(freq.groupBy("stem").agg(F.count("*").alias("df")), "stem")
         self.scored = self.score(rows).select("stem", "chunk_id", "df", "score").persist()
         self.df = self.scored.groupBy("stem").agg(F.first("df").alias("df"))
 
+    @classmethod
+    def stored(cls, passages: DataFrame, postings: DataFrame, stats: DataFrame, terms: DataFrame) -> Index:
+        """The index of a written pack: reads the postings of ``terms`` alone.
+
+        ``postings`` are sorted by term, so with at most ``MAX_LITERALS`` terms the scan skips all
+        row groups of others; more terms are a semi-join.
+        """
+        self = cls.__new__(cls)
+        self.passages, row = passages, stats.first()
+        self.n_chunks, self.avg_len = row["n_chunks"], row["avg_len"] or 1.0
+        wanted = terms.select("stem").distinct()
+        stems = [r["stem"] for r in wanted.limit(MAX_LITERALS + 1).collect()]
+        rows = postings.withColumnRenamed("term", "stem")
+        rows = rows.filter(F.col("stem").isin(stems)) if len(stems) <= MAX_LITERALS else rows.join(small(wanted), "stem", "left_semi")
+        rows = rows.persist()
+        weight = F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("col"))
+        self.places = rows.select("stem", "chunk_id", "len", F.inline("positions")).withColumn("weight", weight)
+        met = rows.select("stem", "chunk_id", "len", "freq")
+        self.scored = self.score(met.join(met.groupBy("stem").agg(F.count("*").alias("df")), "stem")).select("stem", "chunk_id", "df", "score").persist()
+        self.df = self.scored.groupBy("stem").agg(F.first("df").alias("df"))
+        self.held = rows
+        return self
+
     def release(self) -> None:
+        self.held.unpersist()
         self.scored.unpersist()
-        self.places.unpersist()
 
     def contributions(self) -> DataFrame:
         """``stem, chunk_id, score``: what a term adds to a chunk's BM25."""
@@ -127,19 +197,19 @@ def rarity(index: Index, terms: DataFrame, share: float = 0.03, min_df: int = 2)
 
 def search_any(index: Index, terms: DataFrame, limit: int, name: str = "bm25_or") -> DataFrame:
     """Hits of ``t1 OR t2 ...`` for each question's ``terms(qid, stem)``."""
-    hits = index.contributions().join(F.broadcast(terms.select("qid", "stem")), "stem").groupBy("qid", "chunk_id").agg(F.sum("score").alias("score"))
+    hits = index.contributions().join(small(terms.select("qid", "stem")), "stem").groupBy("qid", "chunk_id").agg(F.sum("score").alias("score"))
     return top(hits, limit, name)
 
 
 def search_all(index: Index, terms: DataFrame, limit: int, name: str = "bm25_and", *, relax_below: int = 5) -> DataFrame:
     """Hits of ``t1 AND t2 ...`` for ``terms(qid, stem, rare)``; questions with fewer than
     ``relax_below`` of them and over two terms fall back to their first two terms."""
-    met = index.contributions().join(F.broadcast(terms.select("qid", "stem", "rare")), "stem")
+    met = index.contributions().join(small(terms.select("qid", "stem", "rare")), "stem")
     need = terms.groupBy("qid").agg(F.count("*").alias("need"))
     by = met.groupBy("qid", "chunk_id").agg(
         F.count("*").alias("n"), F.sum("score").alias("score"),
         F.sum(F.when(F.col("rare") <= 2, 1).otherwise(0)).alias("n2"), F.sum(F.when(F.col("rare") <= 2, F.col("score")).otherwise(0.0)).alias("score2"),
-    ).join(F.broadcast(need), "qid")
+    ).join(small(need), "qid")
     full = by.groupBy("qid").agg(F.sum((F.col("n") == F.col("need")).cast("int")).alias("n_full"))
     by = by.join(full, "qid")
     relaxed = (F.col("n_full") < relax_below) & (F.col("need") > 2)
@@ -151,19 +221,19 @@ def search_planner(index: Index, terms: DataFrame, limit: int = 40, name: str =
     """Hits of ``(t1 AND .. t4) OR (t1 OR .. t10)`` for ``terms(qid, stem, use)``: where all of the first
     four are present they count twice."""
     used = terms.filter(F.col("use") <= 10)
-    met = index.contributions().join(F.broadcast(used.select("qid", "stem", "use")), "stem")
+    met = index.contributions().join(small(used.select("qid", "stem", "use")), "stem")
     need = used.groupBy("qid").agg(F.least(F.lit(4), F.count("*")).alias("need"), F.count("*").alias("n_terms"))
     four = F.col("use") <= 4
     by = met.groupBy("qid", "chunk_id").agg(F.sum("score").alias("score"), F.sum(four.cast("int")).alias("n4"), F.sum(F.when(four, F.col("score")).otherwise(0.0)).alias("score4"))
     twice = (F.col("n4") == F.col("need")) & (F.col("n_terms") >= 2)
-    hits = by.join(F.broadcast(need), "qid").select("qid", "chunk_id", (F.col("score") + F.when(twice, F.col("score4")).otherwise(0.0)).alias("score"))
+    hits = by.join(small(need), "qid").select("qid", "chunk_id", (F.col("score") + F.when(twice, F.col("score4")).otherwise(0.0)).alias("score"))
     return top(hits, limit, name)
 
 
 def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
     """``qid, chunk_id, score`` for ``phrases(qid, stems array)``: chunks with the stems side by side in one column."""
     at = phrases.select("qid", F.size("stems").alias("size"), F.posexplode("stems").alias("i", "stem"))
-    met = index.places.join(F.broadcast(at), "stem")
+    met = index.places.join(small(at), "stem")
     begins = met.groupBy("qid", "size", "chunk_id", "len", "col", "weight", (F.col("pos") - F.col("i")).alias("begin")).agg(F.count_distinct("i").alias("n")).filter("n = size")
     freq = begins.groupBy("qid", "chunk_id", "len").agg(F.sum("weight").alias("freq"))
     df = freq.groupBy("qid").agg(F.count("*").alias("df"))
@@ -182,7 +252,7 @@ def search_entities(index: Index, phrases: DataFrame, terms: DataFrame, *, limit
     hits = phrase_matches(index, keyed.select(F.col("key").alias("qid"), "stems"))
     outside = keyed.join(terms.select("qid", "word", "stem", "rare"), "qid").filter(~F.array_contains("words", F.col("word")))
     rest = outside.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("rare"))).filter(F.col("k") <= others).select("key", "stem")
-    also = index.contributions().join(F.broadcast(rest), "stem").groupBy(F.col("key").alias("qid"), "chunk_id").agg(F.sum("score").alias("more"))
+    also = index.contributions().join(small(rest), "stem").groupBy(F.col("key").alias("qid"), "chunk_id").agg(F.sum("score").alias("more"))
     both = hits.join(also, ["qid", "chunk_id"]).select("qid", "chunk_id", (F.col("score") + F.col("more")).alias("score"))
     lists = top(both, limit_and, "bm25_ent_and").unionByName(top(hits, limit, "bm25_phrase"))
     return lists.withColumn("qid", F.col("qid.qid"))
@@ -190,8 +260,8 @@ def search_entities(index: Index, phrases: DataFrame, terms: DataFrame, *, limit
 
 def search_inside(index: Index, terms: DataFrame, docs: DataFrame, limit: int = 4, name: str = "title_inner") -> DataFrame:
     """The OR hits inside linked documents ``docs(qid, doc_id)``, ``limit`` for each of them."""
-    inside = index.passages.select("chunk_id", "doc_id").join(F.broadcast(docs), "doc_id")
-    met = index.contributions().join(F.broadcast(terms.select("qid", "stem")), "stem").groupBy("qid", "chunk_id").agg(F.sum("score").alias("score"))
+    inside = index.passages.select("chunk_id", "doc_id").join(small(docs), "doc_id")
+    met = index.contributions().join(small(terms.select("qid", "stem")), "stem").groupBy("qid", "chunk_id").agg(F.sum("score").alias("score"))
     w = Window.partitionBy("qid", "doc_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     hits = met.join(inside, ["qid", "chunk_id"]).withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < limit)
     return hits.select("qid", F.lit(name).alias("signal"), "chunk_id", "rank", "score")
@@ -237,11 +307,11 @@ def rerank(pool: DataFrame, passages: DataFrame, questions: DataFrame, docs: Dat
     seq = stem_lists(met.select("chunk_id", F.concat_ws(". ", "title", "text").alias("body")).distinct(), ["chunk_id"], "body", "seq")
     named = stem_lists(met.select("doc_id", "title").distinct(), ["doc_id"], "title", "t")
     rows = (
-        met.join(F.broadcast(q), "qid", "left").join(seq, "chunk_id", "left").join(named, "doc_id", "left").join(docs.select("doc_id", "prior"), "doc_id", "left")
+        met.join(small(q), "qid", "left").join(seq, "chunk_id", "left").join(named, "doc_id", "left").join(docs.select("doc_id", "prior"), "doc_id", "left")
         .withColumns({c: F.coalesce(c, none) for c in ("q", "seq", "t")})
     )
     if linked is not None:
-        rows = rows.join(F.broadcast(linked.select("qid", "doc_id").distinct().withColumn("linked", F.lit(1.0))), ["qid", "doc_id"], "left")
+        rows = rows.join(small(linked.select("qid", "doc_id").distinct().withColumn("linked", F.lit(1.0))), ["qid", "doc_id"], "left")
     weight = lambda s: F.when(F.length(s) > 6, 1.3).otherwise(1.0)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda n, s: n + weight(s))
     qs = F.array_distinct("q")

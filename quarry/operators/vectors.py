@@ -3,21 +3,30 @@
 ``vectors(id, list_id, code, scale, q)`` is partitioned by list on disk, so a
 search reads the lists that its questions probe (dynamic partition pruning) and
 fetches 8-bit values for the survivors of the code comparison alone.
+Inner products against centroids and query blocks are matrix products over Arrow batches.
+
+Defined cases.  Null vectors are in no list and are never found; vectors of another
+length than the rest are a ValueError.  An empty table has no centroids and no hits.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as vx
+from ..storage import small
 
 NPROBE, RERANK, SAMPLE, ROUNDS = 24, 400, 200_000, 12
 #: Parts of the lists and of the vectors with which recall@10 is over 0.9 on spread-out vectors at every size measured (README).
 PROBE_SHARE, RERANK_SHARE = 0.75, 0.4
+#: Queries that are broadcast at a time, and products that a task holds.
+BLOCK, _PRODUCTS = 16_384, 1 << 22
 
 
 def list_count(n: int) -> int:
@@ -32,30 +41,61 @@ def effort(n: int, nlist: int, *, probe_share: float = PROBE_SHARE, rerank_share
     return {"nprobe": max(NPROBE, math.ceil(probe_share * nlist)), "rerank": max(RERANK, math.ceil(rerank_share * n))}
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A list column without nulls as rows of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not len(column):
+        return np.empty((0, 0))
+    if len({*np.unique(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()}) != 1:
+        raise ValueError("vectors differ in length")
+    return flat.reshape(len(column), -1)
+
+
 def train_centroids(vectors: DataFrame, nlist: int, *, id_col: str = "id", vec_col: str = "v", sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """``list_id, c`` by spherical k-means over at most ``sample`` vectors, those with the smallest id hashes."""
-    rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vx.l2_normalise(vx.doubles(F.col(vec_col))).alias("v")).toArrow()["v"].to_pylist()
-    x = np.array(rows, dtype=np.float64)
+    spark, kind = vectors.sparkSession, "list_id int, c array<double>"
+    rows = vectors.filter(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    x = matrix(rows.select(vx.l2_normalise(vx.doubles(F.col(vec_col))).alias("v")).toArrow()["v"])
+    if not len(x):
+        return spark.createDataFrame([], kind)
     rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), nlist, replace=False)]
+    c = x[rng.choice(len(x), min(nlist, len(x)), replace=False)]
+    step = max(1, _PRODUCTS // len(c))
     for _ in range(ROUNDS):
-        near = np.concatenate([(x[i : i + 65_536] @ c.T).argmax(1) for i in range(0, len(x), 65_536)])
+        near = np.concatenate([(x[i : i + step] @ c.T).argmax(1) for i in range(0, len(x), step)])
+        order = np.argsort(near, kind="stable")
+        lists, first = np.unique(near[order], return_index=True)
         sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
+        sums[lists] = np.add.reduceat(x[order], first, axis=0)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
-    return vectors.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "list_id int, c array<double>")
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], kind)
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, *, id_col: str = "id", vec_col: str = "v") -> DataFrame:
-    """``id, list_id``: the list of the largest inner product; the smaller list wins ties.
+    """``id, list_id``: the list of the largest inner product, compared at nine digits; the smaller list wins ties.
 
-    The centroids (at most 65,536) are one broadcast array, so a vector stays one row.
+    The centroids are one broadcast matrix: 65,536 at most (``list_count``), so its size is bounded
+    by the dimension, whatever the corpus.
     """
-    held = F.broadcast(centroids.agg(F.array_sort(F.collect_list(F.struct("list_id", "c"))).alias("all")))
-    v = vx.doubles(F.col(vec_col))
-    scored = F.transform("all", lambda e: F.struct(F.round(vx.dot(v, e["c"]), 9).alias("s"), (-e["list_id"]).alias("l")))
-    return vectors.crossJoin(held).select(F.col(id_col).alias("id"), (-F.array_max(scored)["l"]).alias("list_id"))
+    rows = centroids.orderBy("list_id").toArrow()
+    if not rows.num_rows:
+        return vectors.limit(0).select(F.col(id_col).alias("id"), F.lit(0).alias("list_id"))
+    held = vectors.sparkSession.sparkContext.broadcast((rows["list_id"].to_numpy().astype(np.int32), matrix(rows["c"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, c = held.value
+        step = max(1, _PRODUCTS // len(c))
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            x = matrix(batch.column(1))
+            best = [np.round(x[i : i + step] @ c.T, 9).argmax(1) for i in range(0, len(x), step)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists[np.concatenate(best or [np.empty(0, np.int64)])])], ["id", "list_id"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    return vectors.select(F.col(id_col).alias("id"), vx.doubles(F.col(vec_col)).alias("v")).mapInArrow(run, f"id {kind}, list_id int")
 
 
 def encode(vectors: DataFrame, lists: DataFrame, dim: int, *, id_col: str = "id", vec_col: str = "v") -> DataFrame:
@@ -68,7 +108,8 @@ def write_index(encoded: DataFrame, path: str) -> None:
 
 
 def probe(queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE) -> DataFrame:
-    """``qid, list_id, place``: the lists of the largest inner products of each query, a stated set."""
+    """``qid, list_id, place``: the lists of the largest inner products of each query, a stated set.
+    What is broadcast are the centroids, 65,536 at most."""
     scored = queries.crossJoin(F.broadcast(centroids)).select("qid", "list_id", F.round(vx.dot(vx.doubles(F.col("v")), F.col("c")), 9).alias("s"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "list_id"))).filter(F.col("place") <= nprobe).drop("s")
 
@@ -80,9 +121,55 @@ def search(queries: DataFrame, index: DataFrame, centroids: DataFrame, dim: int,
     """
     coded = queries.select("qid", vx.sign_code(vx.doubles(F.col("v")), dim).alias("qcode"))
     lists = probe(queries, centroids, nprobe).join(coded, "qid")
-    met = index.select("list_id", "id", "code").join(F.broadcast(lists), "list_id")
+    met = index.select("list_id", "id", "code").join(small(lists), "list_id")
     near = met.select("qid", "id", "list_id", "place", vx.hamming(F.col("code"), F.col("qcode")).alias("ham"))
     few = near.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("ham", "place", "id"))).filter(F.col("k") <= rerank).select("qid", "id", "list_id")
     scored = few.join(index.select("list_id", "id", "scale", "q"), ["list_id", "id"]).join(queries.select("qid", vx.doubles(F.col("v")).alias("v")), "qid")
     out = scored.select("qid", "id", F.round(vx.dequantised_dot(F.col("v"), F.col("q"), F.col("scale")), 9).alias("score"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, *, k: int = 10, block: int = BLOCK, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+    """Exact ``qid, id, rank, score`` of the ``k`` largest inner products for ``queries(qid, v)``.
+
+    Queries go in blocks of ``block`` at most: each is broadcast by itself and meets all vectors as
+    matrix products; a task sends the best ``k`` of its vectors for each query.  Scores are compared at
+    nine digits and ties go to the smaller id.
+    """
+    spark, n = vectors.sparkSession, queries.count()
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema[id_col].dataType.simpleString()}, score double"
+    rows = vectors.select(F.col(id_col).alias("id"), vx.doubles(F.col(vec_col)).alias("v")).filter("id is not null and v is not null")
+    parts = max(1, -(-n // block))
+    found = None
+    for part in range(parts):
+        own = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
+        asked = own.select("qid", vx.doubles(F.col("v")).alias("v")).filter("v is not null").toArrow()
+        held = spark.sparkContext.broadcast((asked["qid"].combine_chunks(), matrix(asked["v"])))
+        best = rows.mapInArrow(_best(held, k), kinds)
+        found = best if found is None else found.unionByName(best)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
+    return ranked.filter(F.col("rank") <= k).select("qid", "id", "rank", "score")
+
+
+def _best(held, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q = held.value
+        scores, ids = np.full((len(q), 0), 0.0), None
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            x, own = matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            step = max(1, _PRODUCTS // len(q))
+            for lo in range(0, len(x), step):
+                part = np.broadcast_to(own[lo : lo + step], (len(q), len(own[lo : lo + step])))
+                s = np.concatenate([scores, np.round(q @ x[lo : lo + step].T, 9)], 1)
+                i = part if ids is None else np.concatenate([ids, part], 1)
+                order = np.lexsort((i, -s), axis=1)[:, :k]
+                scores, ids = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        if ids is not None:
+            which = np.repeat(np.arange(len(q)), ids.shape[1])
+            for lo in range(0, len(which), 65_536):
+                cut = slice(lo, lo + 65_536)
+                yield pa.RecordBatch.from_arrays([qid.take(pa.array(which[cut])), pa.array(ids.ravel()[cut]), pa.array(scores.ravel()[cut])], ["qid", "id", "score"])
+
+    return run

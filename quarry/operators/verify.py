@@ -79,17 +79,20 @@ def report(checked: DataFrame) -> DataFrame:
     return by.withColumn("support_rate", F.when(F.col("checkable") > 0, F.col("supported") / F.col("checkable")).otherwise(1.0))
 
 
-def matches(answer: Column, target: Column) -> Column:
-    """Lenient match: the target's words stand in the answer in order, or its numbers and all of its
-    content words (themselves or by stem) occur there."""
-    norm = lambda t: F.array_join(tx.words(t), " ")
-    inside = (norm(target) != "") & F.contains(F.concat(F.lit(" "), norm(answer), F.lit(" ")), F.concat(F.lit(" "), norm(target), F.lit(" ")))
-    content = F.when(F.size(tx.content_words(target)) > 0, tx.content_words(target)).otherwise(tx.words(target))
-    own = F.array_union(tx.words(answer), stem_arrays(tx.content_words(answer)))
-    pairs = F.zip_with(content, stem_arrays(content), lambda w, s: F.struct(w.alias("w"), s.alias("s")))
-    every = F.size(F.filter(pairs, lambda p: ~F.array_contains(own, p["w"]) & ~F.array_contains(own, p["s"]))) == 0
-    numbers = F.size(F.array_except(tx.numbers(target), tx.numbers(answer))) == 0
-    return (F.trim(target) != "") & (inside | (numbers & every))
+def matches(rows: DataFrame, answer: str = "answer", target: str = "target", out: str = "ok") -> DataFrame:
+    """Lenient match, as a column more: the target's words stand in the answer in order, or its numbers and
+    all of its content words (themselves or by stem) occur there.  Null texts are empty, and an empty
+    target matches nothing."""
+    text, sought = F.coalesce(F.col(answer), F.lit("")), F.coalesce(F.col(target), F.lit(""))
+    content = F.when(F.size(tx.content_words(sought)) > 0, tx.content_words(sought)).otherwise(tx.words(sought))
+    # arrays first: functions over them take no Python
+    held = rows.withColumns({"__a": tx.words(text), "__t": tx.words(sought), "__c": content, "__n": F.array_except(tx.numbers(sought), tx.numbers(text))})
+    held = held.withColumns({"__own": F.array_union("__a", stem_arrays(tx.content_words(text))), "__s": stem_arrays("__c")})
+    norm = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    inside = (F.size("__t") > 0) & F.contains(norm("__a"), norm("__t"))
+    known = lambda w, s: F.array_contains("__own", w) | F.array_contains("__own", s)
+    every = F.forall(F.zip_with("__c", "__s", known), lambda x: x)
+    return held.withColumn(out, (F.trim(sought) != "") & (inside | ((F.size("__n") == 0) & every))).drop("__a", "__t", "__c", "__n", "__own", "__s")
 
 
 def bench_summary(results: DataFrame, *, rollup: bool = True) -> DataFrame:

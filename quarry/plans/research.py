@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -39,6 +39,34 @@ def sufficient(n_evidence: Column, confidence: Column, n_linked: Column, hop_ans
     return ~((n_evidence == 0) | ((confidence < MIN_CONFIDENCE) & (n_linked == 0) & ~hop_answered))
 
 
+def merge_hits(main: DataFrame, hops: DataFrame, pool: DataFrame) -> DataFrame:
+    """``qid, chunk_id, score, place``: the main hits (``rank``), then the best source of each hop
+    (``hop``), then the pool by score; a chunk counts where it comes first."""
+    parts = [
+        main.select("qid", "chunk_id", "score", F.struct(F.lit(0).alias("p"), F.col("rank").cast("double").alias("o"), (-F.col("score")).alias("s")).alias("at")),
+        hops.select("qid", "chunk_id", "score", F.struct(F.lit(1).alias("p"), F.col("hop").cast("double").alias("o"), (-F.col("score")).alias("s")).alias("at")),
+        pool.select("qid", "chunk_id", "score", F.struct(F.lit(2).alias("p"), (-F.col("score")).cast("double").alias("o"), (-F.col("score")).alias("s")).alias("at")),
+    ]
+    first = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("qid", "chunk_id").agg(F.min("at").alias("at"), F.min_by("score", "at").alias("score"))
+    return first.select("qid", "chunk_id", "score", F.row_number().over(Window.partitionBy("qid").orderBy("at", "chunk_id")).alias("place"))
+
+
+def step_line(name: Column, status: Column, ms: Column, detail: Column) -> Column:
+    """One line of a trace: ``name [STATUS] 12ms detail``."""
+    return F.concat(name, F.lit(" ["), status, F.lit("] "), ms.cast("long").cast("string"), F.lit("ms "), F.coalesce(detail, F.lit("")))
+
+
+def answer_prompt(question: Column, evidence_text: Column, notes: Column, words: Column) -> Column:
+    """The text that a model is given: the evidence, what hops have found, the question, and how long to be."""
+    found = F.when(F.coalesce(notes, F.lit("")) != "", F.concat(F.lit("Found so far:\n"), notes, F.lit("\n\n"))).otherwise("")
+    return F.concat(F.lit("Sources:\n"), evidence_text, F.lit("\n\n"), found, F.lit("Question: "), question, F.lit("\nAnswer from the sources alone in at most "), words.cast("string"), F.lit(" words, and cite them as [n]."))
+
+
+def rewrite_prompt(question: Column, last_question: Column, last_answer: Column) -> Column:
+    """Asks for a follow-up as a question of its own; of the last answer the first 600 characters count."""
+    return F.concat(F.lit("Earlier question: "), last_question, F.lit("\nEarlier answer: "), F.substring(last_answer, 1, 600), F.lit("\nFollow-up: "), question, F.lit("\nWrite the follow-up as one question that stands alone."))
+
+
 def fallback_plan(analyzed: DataFrame) -> DataFrame:
     """``qid, subquestions, queries`` where no model plans: "What is X?" and a query for each comparand, else the entities."""
     things = analyze.comparands(F.col("question"), F.col("entities"))

@@ -12,10 +12,10 @@ from .functions import scan
 from .functions import text as tx
 from .functions import vector as vx
 from .functions.stem import stem_vocabulary
-from .operators import analyze, evidence, ingest, link, search, vectors, verify
+from .operators import analyze, bench, evidence, ingest, link, search, vectors, verify
 from .plans import dialogue, research, retrieve
-from .sources import results
-from .storage import cut, spread
+from .sources import packs, results
+from .storage import cut, fresh, small, spread
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,6 +217,15 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "rank", "chunk_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+@register(f"WITH {o.INDEX}, {o.RERANKED}, {o.DIVERSE} SELECT qid, CAST(rank AS INT) AS rank, chunk_id, doc_id, round(score, 6) AS score FROM dv")
+def hybrid_retrieve_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``hybrid_retrieve`` from a pack that is written first."""
+    path = fresh(spark, "pack")
+    packs.write_passages(_articles(spark, sf_dir), path)
+    found = retrieve.retrieve_from_packs(_questions(spark, sf_dir), {"all": path})
+    return found.select("qid", "rank", "chunk_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 @register()
 def hybrid_retrieve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieve.retrieve(_questions(spark, sf_dir), _articles(spark, sf_dir), entities=True)
@@ -231,12 +240,11 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: the first vector of each label."""
-    first = _vectors(spark, sf_dir).groupBy("label").agg(F.min_by("v", "id").alias("v"), F.min("id").alias("qid"))
-    return first.select("qid", "v")
+    """The stated query set: every vector whose id is divisible by 20."""
+    return _vectors(spark, sf_dir).filter("id % 20 = 0").select(F.col("id").alias("qid"), "v")
 
 
-_V = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT arg_min(v, id) AS qv, min(id) AS qid FROM v GROUP BY label)"""
+_V = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT v AS qv, id AS qid FROM v WHERE id % 20 = 0)"""
 _CODE = "list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform({}, lambda x: CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS HUGEINT))), lambda a, b: a * 2 + b)"
 
 
@@ -255,17 +263,15 @@ def vec_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {_V}, s AS (SELECT qid, id, round(list_dot_product(qv, v), 9) AS s FROM q, v)
 SELECT qid, id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def vec_bruteforce_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _vector_questions(spark, sf_dir).withColumnRenamed("v", "qv")
-    rows = _vectors(spark, sf_dir).crossJoin(F.broadcast(q)).select("qid", "id", F.round(vx.dot(F.col("qv"), F.col("v")), 9).alias("s"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "id"))).filter("rank <= 10")
-    return ranked.select("qid", "id", "rank", F.round("s", 6).alias("score"))
+    found = vectors.nearest(_vector_questions(spark, sf_dir), _vectors(spark, sf_dir))
+    return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @register(f"""WITH {_V}, h AS (SELECT qid, id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (qv[i] > 0) <> (v[i] > 0) THEN 1 ELSE 0 END)) AS ham FROM q, v)
 SELECT qid, id, CAST(ham AS INT) AS ham FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ham, id) AS k FROM h) WHERE k <= 40""")
 def vec_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _vector_questions(spark, sf_dir).select("qid", vx.sign_code(F.col("v"), 64).alias("qc"))
-    rows = _vectors(spark, sf_dir).select("id", vx.sign_code(F.col("v"), 64).alias("c")).crossJoin(F.broadcast(q)).select("qid", "id", vx.hamming(F.col("c"), F.col("qc")).alias("ham"))
+    rows = _vectors(spark, sf_dir).select("id", vx.sign_code(F.col("v"), 64).alias("c")).crossJoin(small(q)).select("qid", "id", vx.hamming(F.col("c"), F.col("qc")).alias("ham"))
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("ham", "id"))).filter("k <= 40").drop("k")
 
 
@@ -353,7 +359,16 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.route(analyze.analyze(_asked(spark, sf_dir), names=False)).select("qid", "type", "role", "plan", "hops", "verify", "evidence_tokens")
 
 
-@register()
+_CUT = r"(?i)\s+(?:vs\.?|versus|and|or|with|to)\s+"
+
+
+@register(rf"""WITH {_CLASSIFIED}, c0 AS (SELECT qid, q, regexp_extract(q, '(?i)(?:between|compare|comparing)\s+(.+?)(?:\?|$|\s+(?:in terms of|regarding|for|on)\s)', 1) AS a,
+  regexp_extract(q, '(?i)^(?:is|are|was|were)?\s*(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\?|$)', 1) AS l, regexp_extract(q, '(?i)^(?:is|are|was|were)?\s*(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\?|$)', 2) AS r FROM a0),
+c1 AS (SELECT qid, CASE WHEN a <> '' THEN a WHEN l <> '' THEN l || ' vs ' || r ELSE '' END AS span FROM c0),
+c2 AS (SELECT qid, unnest(regexp_split_to_array(span, '{_CUT}')) AS p, generate_subscripts(regexp_split_to_array(span, '{_CUT}'), 1) AS i FROM c1),
+c3 AS (SELECT qid, i, trim(regexp_replace(regexp_replace(regexp_replace(trim(p), '[?.]+$', ''), '^the ', ''), '^a ', '')) AS p FROM c2),
+c4 AS (SELECT qid, p, row_number() OVER (PARTITION BY qid ORDER BY i) AS k, i FROM c3 WHERE p <> '' AND len({o.content("p")}) > 0)
+SELECT a0.qid AS qid, coalesce(string_agg(p, '|' ORDER BY k) FILTER (k <= 4), '') AS things FROM a0 LEFT JOIN c4 ON c4.qid = a0.qid GROUP BY 1""")
 def comparands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("qid", F.array_join(analyze.comparands(F.col("question")), "|").alias("things"))
 
@@ -361,7 +376,8 @@ def comparands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    return turns.select("conv_id", "turn", analyze.is_follow_up(F.col("question"), F.lit(0)).alias("follow_up"))
+    names = F.filter(scan.name_spans(F.coalesce("question", F.lit(""))), lambda n: ~F.lower(n).isin(tx.QUESTION_WORDS))
+    return turns.select("conv_id", "turn", analyze.is_follow_up(F.col("question"), F.size(names)).alias("follow_up"))
 
 
 @register()
@@ -422,16 +438,19 @@ def arithmetic_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT item_id, doc_id FROM i JOIN d ON contains(' ' || d.t || ' ', ' ' || i.t || ' ') WHERE i.t <> ''""")
 def lenient_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose words stand in a document in order: a phrase of eight words picks candidates by an
-    equi-join, so no document meets items that it does not share a passage with."""
+    equi-join; items of fewer words are compared with every text, inside the scan."""
     window = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(8)), " ")))
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.inline(F.array(F.struct(tx.words(F.col("text")).alias("w")))))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.inline(F.array(F.struct(tx.words(F.col("text")).alias("w"))))).filter(F.size("w") > 0)
     keyed = items.select("item_id", F.array_join("w", " ").alias("t"), F.xxhash64(F.array_join(F.slice("w", 1, 8), " ")).alias("key"), F.size("w").alias("n"))
-    found = docs.filter(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(window(F.col("w")))).alias("key")).join(keyed.filter("n >= 8").select("item_id", "t", "key"), "key")
-    short = docs.crossJoin(F.broadcast(keyed.filter("n < 8").select("item_id", "t"))).select("item_id", "t", "doc_id")
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     texts = docs.select("doc_id", F.array_join("w", " ").alias("d"))
-    both = found.select("item_id", "t", "doc_id").unionByName(short).join(texts, "doc_id")
-    return both.filter(F.contains(F.concat(F.lit(" "), "d", F.lit(" ")), F.concat(F.lit(" "), "t", F.lit(" ")))).select("item_id", "doc_id").distinct()
+    # the items' keys are broadcast where they are small: only hits leave the scan
+    found = docs.filter(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(window(F.col("w")))).alias("key")).join(small(keyed.filter("n >= 8").select("item_id", "t", "key")), "key")
+    long = found.select("item_id", "t", "doc_id").join(texts, "doc_id").filter(F.contains(padded(F.col("d")), padded(F.col("t"))))
+    # items under eight words meet each text where it is read
+    short = texts.crossJoin(small(keyed.filter("n < 8").select("item_id", "t"))).filter(F.contains(padded(F.col("d")), padded(F.col("t"))))
+    return long.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
 
 
 @register(f"SELECT aid, regexp_matches(substr(answer, 1, 400), '(?i){analyze.ABSTAIN}') AS abstained FROM {_values(ANSWERED, 'aid, answer')}")
@@ -467,28 +486,33 @@ def bench_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""WITH a AS (SELECT user_id AS id, avg(value) AS ms FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id AS id, avg(value) AS ms FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT count(*) AS n, round(median(a.ms), 6) AS median_a, round(median(b.ms), 6) AS median_b FROM a JOIN b USING (id)""")
 def bench_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = lambda kind, out: table(spark, sf_dir, "events").filter(F.col("event_type") == kind).groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias(out))
-    return run("click", "a").join(run("view", "b"), "id").agg(F.count("*").alias("n"), F.round(F.median("a"), 6).alias("median_a"), F.round(F.median("b"), 6).alias("median_b"))
+    run = lambda kind: table(spark, sf_dir, "events").filter(F.col("event_type") == kind).groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("total_ms"))
+    out = bench.compare_runs(run("click"), run("view"))
+    return out.select("n", F.round("median_a", 6).alias("median_a"), F.round("median_b", 6).alias("median_b"))
 
 
-@register("SELECT l.doc_id AS id, coalesce(substr(text, 1, 40), '') AS answer, quality || ' | ' || toxic AS grades FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
+@register("SELECT l.doc_id AS id, 'Q' || l.doc_id AS question, CASE WHEN quality IS NOT NULL THEN 'quality ' || quality END AS answer, l.quality || ' | ' || l.toxic AS sources, substr(text, 1, 40) AS gold FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
 def grading_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "left")
-    return rows.select(F.col("doc_id").alias("id"), F.coalesce(F.substring("text", 1, 40), F.lit("")).alias("answer"), F.concat_ws(" | ", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("grades"))
+    one = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("question"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("answer"),
+        F.array(F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("sources"),
+    )
+    gold = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("answer"))
+    return results.grading_rows(one, gold)
 
 
 @register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    ids = lambda name: table(spark, sf_dir, name).select(F.col("doc_id").alias("id"))
+    return results.not_yet_done(ids("documents"), ids("labels")).withColumnRenamed("id", "doc_id")
 
 
 @register(f"""WITH {o.ARTICLES}, t AS (SELECT doc_id FROM ar ORDER BY least(1.0, log10(greatest(10, words)) / 4.5) DESC, doc_id LIMIT 50)
 SELECT doc_id * 1000000 + unnest(range(0, len(paras))) AS chunk_id FROM ar WHERE doc_id IN (SELECT doc_id FROM t) UNION SELECT doc_id * 1000000 FROM ar WHERE len(paras) > 0""")
 def scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _articles(spark, sf_dir)
-    parts = ingest.passages(rows)
-    best = rows.select("doc_id", ingest.prior(ingest.count_all_words(F.col("paras"))).alias("prior")).orderBy(F.desc("prior"), "doc_id").limit(50)
-    return parts.join(best, "doc_id", "left_semi").select("chunk_id").unionByName(parts.filter("ord = 0").select("chunk_id")).distinct()
+    docs = rows.select("doc_id", ingest.prior(ingest.count_all_words(F.col("paras"))).alias("prior"))
+    return ingest.scope(ingest.passages(rows), docs, "top:50,lead:1")
 
 
 @register(rf"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents)
@@ -602,3 +626,6 @@ def signal_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, terms = _index(spark, sf_dir)
     held = search.signal_map(retrieve.lexical_lists(index, terms), retrieve.WEIGHTS)
     return held
+
+
+from . import flow_queries  # noqa: E402, F401  (registers its queries)

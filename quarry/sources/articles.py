@@ -11,9 +11,22 @@ QUESTION_SCHEMA = "id string, category string, question string, answer string, a
 MANIFEST_SCHEMA = "format string, id string, name string, version string, license string, source string, created string, language string, docs long, chunks long, text_codec string, url_template string, files map<string,struct<bytes:long,sha256:string>>"
 
 
-def read_parquet_articles(spark: SparkSession, path: str) -> DataFrame:
+def expand(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The files that glob patterns match, sorted within each pattern; a pattern without any is an error."""
+    hadoop, out = spark._jvm.org.apache.hadoop.fs, []
+    for pattern in patterns:
+        at = hadoop.Path(pattern)
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+        names = sorted(s.getPath().toString() for s in found or [])
+        if not names:
+            raise FileNotFoundError(f"nothing matches {pattern}")
+        out += names
+    return out
+
+
+def read_parquet_articles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``title, paras, url``; only these columns are scanned."""
-    return spark.read.parquet(path).select("title", tx.paragraphs(F.coalesce("text", F.lit(""))).alias("paras"), "url")
+    return spark.read.parquet(*([path] if isinstance(path, str) else path)).select("title", tx.paragraphs(F.coalesce("text", F.lit(""))).alias("paras"), "url")
 
 
 def read_jsonl_articles(spark: SparkSession, path: str) -> DataFrame:

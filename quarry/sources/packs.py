@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest, search
 
-TABLES = ("docs", "chunks", "titles", "term_df", "postings")
+TABLES = ("docs", "chunks", "titles", "term_df", "postings", "stats")
 
 
 def write_pack(articles: DataFrame, path: str, name: str) -> None:
@@ -26,7 +26,7 @@ def write_pack(articles: DataFrame, path: str, name: str) -> None:
     kept = rows.join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     ingest.title_table(kept).repartitionByRange("norm").sortWithinPartitions("norm").write.mode("overwrite").parquet(f"{path}/titles")
     passages = chunks.join(docs.select(F.col("id").alias("doc_id"), "title"), "doc_id")
-    search.postings(passages).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    write_postings(passages, path)
     df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2")
     df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_df")
     manifest = {"format": "quarry-pack-1", "id": name, "name": name, "language": "en", "docs": docs.count(), "chunks": chunks.count()}
@@ -34,6 +34,28 @@ def write_pack(articles: DataFrame, path: str, name: str) -> None:
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
+def write_postings(passages: DataFrame, path: str) -> None:
+    """``postings``, range-partitioned and sorted by term, and the row of corpus statistics."""
+    search.postings(passages).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    search.corpus_stats(passages).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def write_passages(articles: DataFrame, path: str) -> None:
+    """A pack of ``articles`` as they are, with a chunk for each paragraph and without a manifest."""
+    spark = articles.sparkSession
+    ingest.passages(articles).drop("title").write.mode("overwrite").parquet(f"{path}/chunks")
+    words = ingest.count_all_words(F.col("paras"))
+    articles.select(F.col("doc_id").alias("id"), "title", ingest.prior(words).alias("prior")).write.mode("overwrite").parquet(f"{path}/docs")
+    ingest.title_table(articles).repartitionByRange("norm").sortWithinPartitions("norm").write.mode("overwrite").parquet(f"{path}/titles")
+    write_postings(pack_passages(spark, path), path)
+
+
+def pack_passages(spark: SparkSession, path: str) -> DataFrame:
+    """``chunk_id, doc_id, ord, title, section, text`` of a written pack."""
+    docs = spark.read.parquet(f"{path}/docs").select(F.col("id").alias("doc_id"), "title")
+    return spark.read.parquet(f"{path}/chunks").join(docs, "doc_id").select("chunk_id", "doc_id", "ord", "title", "section", "text")
+
+
 def file_sums(spark: SparkSession, path: str) -> DataFrame:
     """``path, length, sha256`` of a pack's Parquet files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
@@ -50,6 +72,12 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(f"{path}/manifest").select(F.from_json("value", MANIFEST_SCHEMA).alias("m")).select("m.*")
 
 
+def sql(spark: SparkSession, path: str, query: str, **args: object) -> DataFrame:
+    """A parameterised query over a pack's tables, which it names in braces: ``SELECT ... FROM {chunks} WHERE ord < :n``."""
+    held = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES if f"{{{t}}}" in query}
+    return spark.sql(query, args=args, **held)
+
+
 def lookup(table: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     """Rows of a table whose key is among ``keys``."""
     return table.join(keys.select(col).distinct(), col, "left_semi")
@@ -58,7 +86,31 @@ def lookup(table: DataFrame, keys: DataFrame, col: str) -> DataFrame:
 def upsert_embedding(spark: SparkSession, path: str, embedding: dict) -> None:
     """Replaces the ``embedding`` entry of a pack's manifest; its other keys stay as they are."""
     held = json.loads(spark.read.text(f"{path}/manifest").first()["value"]) | {"embedding": embedding}
-    spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest.new")
+    # beside the old one first: a failure before the renames leaves the pack as it was
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = lambda name: hadoop.Path(f"{path}/{name}")
+    fs = at("manifest").getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at("manifest.old"), True)
+    if not (fs.rename(at("manifest"), at("manifest.old")) and fs.rename(at("manifest.new"), at("manifest"))):
+        raise RuntimeError(f"the manifest of {path} was not replaced; manifest.old and manifest.new hold both forms")
+    fs.delete(at("manifest.old"), True)
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """``path, id, docs, chunks, total_bytes, error`` for each folder in ``root``: a pack's manifest and
+    the size of its files, or why it can't be read.  Folders are listed by the driver, in order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for s in sorted((s for s in fs.listStatus(hadoop.Path(root)) if s.isDirectory()), key=lambda s: s.getPath().toString()):
+        path = s.getPath().toString()
+        try:
+            m = manifest(spark, path).first()
+            out.append((path, m["id"], m["docs"], m["chunks"], fs.getContentSummary(s.getPath()).getLength(), None if m["id"] else "the manifest has no id"))
+        except Exception as e:  # a pack that can't be read is a row of its own
+            out.append((path, None, None, None, fs.getContentSummary(s.getPath()).getLength(), str(e).splitlines()[0][:200]))
+    return spark.createDataFrame(out, "path string, id string, docs long, chunks long, total_bytes long, error string")
 
 
 def storage_bytes(spark: SparkSession, path: str) -> int:

@@ -26,8 +26,12 @@ def append_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 
 
-def write_grading_sheet(results: DataFrame, gold: DataFrame, path: str) -> None:
-    """CSV of ``results(id, question, answer, sources)`` beside the gold answers; sources are joined by bars."""
+def grading_rows(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """``results(id, question, answer, sources)`` beside the gold answers; sources are joined by bars."""
     named = F.concat_ws(" | ", "sources")
-    rows = results.select("id", "question", "answer", named.alias("sources")).join(gold.select("id", F.col("answer").alias("gold")), "id", "left")
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return results.select("id", "question", "answer", named.alias("sources")).join(gold.select("id", F.col("answer").alias("gold")), "id", "left")
+
+
+def write_grading_sheet(results: DataFrame, gold: DataFrame, path: str) -> None:
+    """``grading_rows`` as CSV."""
+    grading_rows(results, gold).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -16,15 +17,30 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     folder of this machine is set, which only a local master may use.
     """
     spark = df.sparkSession
+    path = fresh(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(spark: SparkSession, label: str) -> str:
+    """A path under ``spark.checkpoint.dir`` that does not exist yet."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+#: Bytes up to which a frame of few rows for each question may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, marked for broadcast if the optimiser's estimate of its size is at most
+    ``BROADCAST_BYTES``; a larger one is left to the optimiser, which shuffles it."""
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES else df
 
 
 #: Bytes for each task slot up to which a scan of few files is dealt out anew.
