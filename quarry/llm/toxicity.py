@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .shared import drop_stash, lean, stash
 
-MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 4096, 8192, 1 << 25
+MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 4096, 12_288, 1 << 25
 
 
 @dataclass(frozen=True)
