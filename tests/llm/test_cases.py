@@ -355,7 +355,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     gone = {200 + i for i in range(20) if 10 * len(grams[i] & grams[200 + i]) >= 8 * len(grams[i] | grams[200 + i])}
     assert left == set(keep) - gone and len(gone) > 10
     cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path)).collect()}
-    assert set(cut) == set(keep) - {301, 302} or (302 not in cut and item not in cut[301][0])
+    assert set(cut) == set(keep) - {301, 302}  # 40 of 640 and of 90 words are hit
     assert all(n == len(t) for t, n in cut.values())
     packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(keep) and all(r["length"] > 0 for r in packed)
