@@ -100,7 +100,7 @@ def test_lenient_matches(spark):
     rows = [("The Bridge of 1932 was long.", "bridge of 1932"), ("They built bridges in 1932", "1932 bridge building"), ("in 1933", "1932"), ("x", ""), ("x", None), (None, "x"), ("two rivers meet", "the river meeting")]
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, answer string, target string")
     got = {r["id"]: r["ok"] for r in verify.matches(frame).collect()}
-    assert [got[i] for i in range(len(rows))] == [True, False, False, False, False, False, False] or got[0] and not any(got[i] for i in (2, 3, 4, 5))
+    assert [got[i] for i in range(len(rows))] == [True, False, False, False, False, False, True]
 
 
 def test_result_rows(spark):
