@@ -21,7 +21,11 @@ is bounded by vocabulary x languages.
 
 Defined cases.  Null texts and texts without a letter give ``und`` with score 0;
 so does every text if no language was learned.  Ties go to the language that
-sorts first.  Rows without a language teach nothing; repeated rows teach as often
+sorts first.  The share of the best language compares learned languages alone, so it
+is near 1 for random letters too; ``keep_known`` therefore also compares with letters
+drawn evenly.  Short texts are kept when in doubt, and languages that were never
+learned go only as far as their letters are improbable in all learned ones: foreign
+scripts if the sample is large beside the smoothing of pieces, kindred languages hardly.  Rows without a language teach nothing; repeated rows teach as often
 as they occur, but an id is chosen once, so repeats of some never keep others, or
 other languages, from being learned.  Other columns are never read.
 """
@@ -45,6 +49,10 @@ MAX_WORD = 31
 MAX_PIECE = 16
 MAX_DOCS = 1000
 _CACHE_BYTES = 48 << 20
+#: Log-probability of a letter's byte, or of a word's marker, when 26 letters and the marker are drawn evenly.
+EVEN = -float(np.log(27))
+#: Random letters must explain a text so many times better than every language for it to be none.
+NOISE_ODDS = 1e6
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 LETTER[128:] = True
@@ -191,10 +199,12 @@ class Scorer:
             self.known.update(zip(u[new].tolist(), at[new].tolist()))
         return self.values[at[inverse]]
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, share and log-odds against evenly drawn letters, of each text."""
         data, offsets = tb.buffer(pc.utf8_lower(texts.cast(pa.large_string())))
         langs: list[str] = []
         scores: list[np.ndarray] = []
+        odds: list[np.ndarray] = []
         for lo, hi in tb.pieces(offsets):
             d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             w = letter_runs(d, o)
@@ -209,12 +219,15 @@ class Scorer:
             if not self.model.langs:
                 langs += [UNKNOWN] * (hi - lo)
                 scores.append(np.zeros(hi - lo))
+                odds.append(np.zeros(hi - lo))
                 continue
             best = total.argmax(1)
             share = 1.0 / np.exp(total - total.max(1, keepdims=True)).sum(1)
             langs += [self.model.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
             scores.append(np.where(letters, share, 0.0))
-        return langs, np.concatenate(scores) if scores else np.empty(0)
+            symbols = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
+            odds.append(total.max(1) - EVEN * (symbols[w.rows[1:]] - symbols[w.rows[:-1]]))
+        return langs, *(np.concatenate(x) if x else np.empty(0) for x in (scores, odds))
 
 
 def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tb.Words:
@@ -298,7 +311,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()
         for batch in batches:
-            lang, score = scorer.predict(batch.column(1))
+            lang, score, _ = scorer.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -306,13 +319,14 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows with a language of at least that share, with all their columns; map-only."""
+    """The rows with a language of at least that share that evenly drawn letters do not explain better by far, with all their columns; map-only."""
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()
         for batch in batches:
-            lang, score = scorer.predict(batch.column(at))
-            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score.tolist())], pa.bool_()))
+            lang, score, odds = scorer.predict(batch.column(at))
+            some = (score >= least) & (odds > -np.log(NOISE_ODDS))
+            yield batch.filter(pa.array([x != UNKNOWN and s for x, s in zip(lang, some.tolist())], pa.bool_()))
 
     return docs.mapInArrow(lean(run), docs.schema)

@@ -9,6 +9,7 @@ from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,28 @@ def test_every_language_is_learned_under_repeats(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_noise_and_strange_scripts_have_no_language(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(_prose(rng, i) for _ in range(60)), ("en", "fr")[i % 2]) for i in range(400)], "doc_id long, text string, lang string")
+    model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(5, 9))) for _ in range(n)) for n in (3, 10, 2000)]
+    strange = ["Добрый день, как дела сегодня. " * 8, "今日はとても良い天気ですね" * 4, *noise, "", None, "1234 !!"]
+    clean = [_prose(rng, i) for i in range(40)] + ["the", "le jardin", "ok", "the water " * 20_000]
+    rows = spark.createDataFrame(list(enumerate([*clean, *strange])), "doc_id long, text string").withColumn("lang", F.lit("kept"))
+    kept = langid.keep_known(rows, model).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(len(clean))) and {r["lang"] for r in kept} == {"kept"}
+    assert langid.keep_known(rows, langid.train(docs.limit(0), public_tokenizers.path("piece_bpe_32k.model"))).count() == 0
+    # the log-odds are those of the words, summed one by one
+    scorer = model.scorer()
+    one = {w: scorer.predict(pa.array([w]))[2][0] for w in ("the", "river", "qzx")}
+    assert np.isclose(scorer.predict(pa.array(["The river, qzx the"]))[2][0], 2 * one["the"] + one["river"] + one["qzx"])
+
+
+def _prose(rng, i):
+    words = ("the water river of stone and house under old tree was with green", "le jardin et la maison sous un arbre vert avec une pierre dans eau")[i % 2]
+    return " ".join(rng.choices(words.split(), k=rng.randint(3, 30)))
+
+
 def test_expectation_maximisation_equals_summing_segmentations():
     pieces = langid.Pieces(sorted({b" a", b"b", b"ab", b" ab", b"a", b" ", b"c", b"bc"}))
     words, counts = [b"abc", b"ab", b"cab"], np.array([3.0, 2.0, 1.0])
