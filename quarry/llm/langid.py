@@ -23,9 +23,8 @@ Defined cases.  Null texts and texts without a letter give ``und`` with score 0;
 so does every text if no language was learned.  Ties go to the language that
 sorts first.  The share of the best language compares learned languages alone, so it
 is near 1 for random letters too; ``keep_known`` therefore also compares with letters
-drawn evenly.  Short texts are kept when in doubt, and languages that were never
-learned go only as far as their letters are improbable in all learned ones: foreign
-scripts if the sample is large beside the smoothing of pieces, kindred languages hardly.  Rows without a language teach nothing; repeated rows teach as often
+drawn evenly.  Short texts are kept when in doubt, texts with a key or token by their other words, and languages that were never
+learned mostly stay: few of them are worse than random letters in nearly every word.  Rows without a language teach nothing; repeated rows teach as often
 as they occur, but an id is chosen once, so repeats of some never keep others, or
 other languages, from being learned.  Other columns are never read.
 """
@@ -53,6 +52,8 @@ _CACHE_BYTES = 48 << 20
 EVEN = -float(np.log(27))
 #: Random letters must explain a text so many times better than every language for it to be none.
 NOISE_ODDS = 1e6
+#: A text of which this share of words is likelier in its language than at random is never noise (a short text may hold a key).
+WORDS_OF_LANGUAGE = 0.25
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 LETTER[128:] = True
@@ -199,18 +200,21 @@ class Scorer:
             self.known.update(zip(u[new].tolist(), at[new].tolist()))
         return self.values[at[inverse]]
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, share and log-odds against evenly drawn letters, of each text."""
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: language, its share, log-odds against evenly drawn letters, share of words with odds above one."""
         data, offsets = tb.buffer(pc.utf8_lower(texts.cast(pa.large_string())))
         langs: list[str] = []
         scores: list[np.ndarray] = []
         odds: list[np.ndarray] = []
+        spoken: list[np.ndarray] = []
         for lo, hi in tb.pieces(offsets):
             d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             w = letter_runs(d, o)
             total = np.zeros((hi - lo, len(self.model.langs)))
+            of_words = np.zeros((0, total.shape[1]))
             if len(w.start) and self.model.langs:
-                sums = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(self._likelihoods(d, w), axis=0)])
+                of_words = self._likelihoods(d, w)
+                sums = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(of_words, axis=0)])
                 total = sums[w.rows[1:]] - sums[w.rows[:-1]]
             letters = np.diff(w.rows) > 0
             ascii_letters = np.concatenate([[0], np.cumsum(LETTER[:128][d & 127] & (d < 128))])
@@ -220,14 +224,17 @@ class Scorer:
                 langs += [UNKNOWN] * (hi - lo)
                 scores.append(np.zeros(hi - lo))
                 odds.append(np.zeros(hi - lo))
+                spoken.append(np.zeros(hi - lo))
                 continue
             best = total.argmax(1)
             share = 1.0 / np.exp(total - total.max(1, keepdims=True)).sum(1)
             langs += [self.model.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
             scores.append(np.where(letters, share, 0.0))
-            symbols = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
-            odds.append(total.max(1) - EVEN * (symbols[w.rows[1:]] - symbols[w.rows[:-1]]))
-        return langs, *(np.concatenate(x) if x else np.empty(0) for x in (scores, odds))
+            of_row = w.row_of()
+            gain = of_words[np.arange(len(of_words)), best[of_row]] - EVEN * (w.end - w.start + 1)
+            odds.append(np.bincount(of_row, gain, hi - lo))
+            spoken.append(np.bincount(of_row, gain > 0, hi - lo) / np.maximum(np.diff(w.rows), 1))
+        return langs, *(np.concatenate(x) if x else np.empty(0) for x in (scores, odds, spoken))
 
 
 def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tb.Words:
@@ -311,7 +318,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()
         for batch in batches:
-            lang, score, _ = scorer.predict(batch.column(1))
+            lang, score, *_ = scorer.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -325,8 +332,8 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()
         for batch in batches:
-            lang, score, odds = scorer.predict(batch.column(at))
-            some = (score >= least) & (odds > -np.log(NOISE_ODDS))
+            lang, score, odds, spoken = scorer.predict(batch.column(at))
+            some = (score >= least) & ((odds > -np.log(NOISE_ODDS)) | (spoken >= WORDS_OF_LANGUAGE))
             yield batch.filter(pa.array([x != UNKNOWN and s for x, s in zip(lang, some.tolist())], pa.bool_()))
 
     return docs.mapInArrow(lean(run), docs.schema)
