@@ -8,7 +8,8 @@ working tables, and the table that it has read, are deleted when its own is writ
 1.  toxicity: fitted on the labels of the documents at hand; documents predicted
     toxic go.
 2.  language ID: fitted on their ``lang``; documents without a language (no
-    letters, or no language with at least half of the probability) go.
+    letters, no language with at least half of the probability, or letters that
+    look drawn at random) go.
 3.  n-gram Jaccard join: of each class of near duplicates the row with the
     smallest id stays (a null id is the largest; of rows with that id, one).
     Rows are judged by their texts alone, also where an id is null or repeated.
