@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest, search
+from ..storage import cut, small
 
 TABLES = ("docs", "chunks", "titles", "term_df", "postings", "stats")
 
@@ -36,7 +37,7 @@ def write_pack(articles: DataFrame, path: str, name: str) -> None:
 
 def write_postings(passages: DataFrame, path: str) -> None:
     """``postings``, range-partitioned and sorted by term, and the row of corpus statistics."""
-    search.postings(passages).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    search.unpacked(search.packed_postings(passages).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")).write.mode("overwrite").parquet(f"{path}/postings")
     search.corpus_stats(passages).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -47,13 +48,18 @@ def write_passages(articles: DataFrame, path: str) -> None:
     words = ingest.count_all_words(F.col("paras"))
     articles.select(F.col("doc_id").alias("id"), "title", ingest.prior(words).alias("prior")).write.mode("overwrite").parquet(f"{path}/docs")
     ingest.title_table(articles).repartitionByRange("norm").sortWithinPartitions("norm").write.mode("overwrite").parquet(f"{path}/titles")
-    write_postings(pack_passages(spark, path), path)
+    write_postings(ingest.passages(articles), path)
 
 
-def pack_passages(spark: SparkSession, path: str) -> DataFrame:
-    """``chunk_id, doc_id, ord, title, section, text`` of a written pack."""
+def pack_passages(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
+    """``chunk_id, doc_id, ord, title, section, text`` of a written pack; with ``only(chunk_id)`` of those chunks, which
+    are picked before their titles are joined."""
     docs = spark.read.parquet(f"{path}/docs").select(F.col("id").alias("doc_id"), "title")
-    return spark.read.parquet(f"{path}/chunks").join(docs, "doc_id").select("chunk_id", "doc_id", "ord", "title", "section", "text")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    if only is not None:
+        chunks = cut(chunks.join(small(only), "chunk_id", "left_semi"), "chunks")
+        docs = docs.join(small(chunks.select("doc_id").distinct()), "doc_id", "left_semi")
+    return chunks.join(docs, "doc_id").select("chunk_id", "doc_id", "ord", "title", "section", "text")
 
 
 def file_sums(spark: SparkSession, path: str) -> DataFrame:
