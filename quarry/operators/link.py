@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scan
 from ..functions import text as tx
+from ..storage import small
 
 # Words that do not need a capital inside a name.
 CONNECTING = ["of", "the", "and", "de", "von", "van", "da", "in", "on", "for"]
@@ -43,25 +47,39 @@ def candidates(questions: DataFrame, titles: DataFrame, docs: DataFrame, entitie
     by = Window.partitionBy("qid")
     merged = grams.groupBy("qid", "gram", "n").agg(F.max("strength").alias("strength"), F.max("capitalised").alias("named"), F.max("single").alias("single"))
     usable = merged.withColumn("any_named", F.max("named").over(by)).filter("not (single and any_named)")
-    # the query side is small next to the title table: the optimiser broadcasts it where it is
-    hits = titles.join(usable, titles["norm"] == usable["gram"]).filter("kind = 0 or not single")
-    return hits.join(docs.select("doc_id", "prior"), "doc_id", "left").select("qid", "gram", "n", "strength", "single", "doc_id", "kind", F.coalesce("prior", F.lit(0.0)).alias("prior"))
+    # of one title only the first two readings can be chosen, and none of an alias for a word in lower case, which come
+    # after all of kind 0: so two rows of a title go on, whatever its number of articles
+    sought = titles.join(small(usable.select(F.col("gram").alias("norm")).distinct()), "norm", "left_semi")
+    priors = docs.select("doc_id", "prior").join(small(sought.select("doc_id").distinct()), "doc_id", "left_semi")
+    read = sought.join(priors, "doc_id", "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
+    w = Window.partitionBy("norm").orderBy("kind", F.desc("prior"), "doc_id")
+    first = read.withColumn("k", F.row_number().over(w)).filter("k <= 2").drop("k")
+    hits = first.join(small(usable), first["norm"] == usable["gram"]).filter("kind = 0 or not single")
+    return hits.select("qid", "gram", "n", "strength", "single", "doc_id", "kind", "prior")
 
 
-def _choose(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["kind", "prior", "doc_id"], ascending=[True, False, True])
-    rows["key"] = rows["n"] * 10 + rows["strength"]
+def _choose(rows: list[dict]) -> list[dict]:
+    """The articles of a question's ``n, strength, gram, kind, prior, doc_id``: longer and surer grams first."""
+    rows = sorted(rows, key=lambda r: (-(r["n"] * 10 + r["strength"]), r["gram"], r["kind"], -r["prior"], r["doc_id"]))
     met: list[str] = []
     out: dict[int, tuple[float, str]] = {}
-    for (_, gram), own in sorted(rows.groupby(["key", "gram"]), key=lambda g: (-g[0][0], g[0][1])):
+    for (_, gram), own in itertools.groupby(rows, key=lambda r: (r["n"] * 10 + r["strength"], r["gram"])):
         if any(gram in m and gram != m for m in met):  # inside a longer one that matched
             continue
         met.append(gram)
-        own = own.drop_duplicates("doc_id").head(1 if own["kind"].iloc[0] == 0 else 2)
-        for doc, kind, strength in zip(own["doc_id"], own["kind"], own["strength"]):
-            out.setdefault(int(doc), (float(strength) * (0.7 if kind == 2 else 1.0), gram))
-    chosen = list(out.items())[:MAX_LINKED]
-    return pd.DataFrame({"qid": rows["qid"].iloc[0], "doc_id": [d for d, _ in chosen], "gram": [g for _, (_, g) in chosen], "strength": [s for _, (s, _) in chosen], "place": range(len(chosen))})
+        read = list(own)
+        first = list({r["doc_id"]: r for r in reversed(read)}.values())[::-1][: 1 if read[0]["kind"] == 0 else 2]
+        for r in first:
+            out.setdefault(r["doc_id"], (r["strength"] * (0.7 if r["kind"] == 2 else 1.0), gram))
+    return [{"doc_id": d, "gram": g, "strength": s, "place": i} for i, (d, (s, g)) in enumerate(list(out.items())[:MAX_LINKED])]
+
+
+_CHOSEN = [("doc_id", T.LongType()), ("gram", T.StringType()), ("strength", T.DoubleType()), ("place", T.IntegerType())]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(*f) for f in _CHOSEN])))
+def _chosen(rows: pd.Series) -> pd.Series:
+    return rows.map(_choose)
 
 
 def link_entities(questions: DataFrame, titles: DataFrame, docs: DataFrame, *, spans: bool = True) -> DataFrame:
@@ -70,8 +88,5 @@ def link_entities(questions: DataFrame, titles: DataFrame, docs: DataFrame, *, s
     if spans:
         entities = questions.select("qid", F.explode(scan.name_spans(F.coalesce("question", F.lit("")))).alias("entity")).filter(~F.lower("entity").isin(tx.QUESTION_WORDS))
     found = candidates(questions, titles, docs, entities)
-    # of one gram only the first two readings can be chosen, so a group has few rows whatever the titles
-    w = Window.partitionBy("qid", "gram").orderBy("kind", F.desc("prior"), "doc_id")
-    few = found.withColumn("k", F.row_number().over(w)).filter("k <= 2").drop("k")
-    kind = few.schema["qid"].dataType.simpleString()
-    return few.groupBy("qid").applyInPandas(_choose, f"qid {kind}, doc_id long, gram string, strength double, place int")
+    held = found.groupBy("qid").agg(F.collect_list(F.struct("n", "strength", "gram", "kind", "prior", "doc_id")).alias("rows"))
+    return held.select("qid", F.inline(_chosen("rows")))
