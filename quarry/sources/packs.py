@@ -27,7 +27,7 @@ def write_pack(articles: DataFrame, path: str, name: str) -> None:
     kept = rows.join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     ingest.title_table(kept).repartitionByRange("norm").sortWithinPartitions("norm").write.mode("overwrite").parquet(f"{path}/titles")
     passages = chunks.join(docs.select(F.col("id").alias("doc_id"), "title"), "doc_id")
-    write_postings(passages, path)
+    write_postings(passages, path, passages.count())
     df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2")
     df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_df")
     manifest = {"format": "quarry-pack-1", "id": name, "name": name, "language": "en", "docs": docs.count(), "chunks": chunks.count()}
@@ -35,10 +35,19 @@ def write_pack(articles: DataFrame, path: str, name: str) -> None:
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
-def write_postings(passages: DataFrame, path: str) -> None:
-    """``postings``, range-partitioned and sorted by term, and the row of corpus statistics."""
-    search.unpacked(search.packed_postings(passages).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")).write.mode("overwrite").parquet(f"{path}/postings")
-    search.corpus_stats(passages).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+def write_postings(passages: DataFrame, path: str, n_chunks: int) -> None:
+    """``postings``, dealt by ranges of terms and sorted by term, and the row of corpus statistics; the pack's
+    ``chunks`` are there already.
+
+    The texts are read once, and blocks of postings are shuffled once.  A token is in one posting, so their
+    places are all tokens.
+    """
+    spark = passages.sparkSession
+    parts = search.Parts(spark.read.parquet(f"{path}/chunks"), n_chunks)
+    blocks = search.posting_blocks(passages, parts).repartitionById(parts.n, "part").sortWithinPartitions("term", F.get("ids", F.lit(0)))
+    search.unblocked(blocks).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    n_tokens = spark.read.parquet(f"{path}/postings").agg(F.sum(F.size("positions.pos"))).first()[0] or 0
+    spark.createDataFrame([(n_chunks, n_tokens / n_chunks if n_chunks else None)], "n_chunks long, avg_len double").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def write_passages(articles: DataFrame, path: str) -> None:
@@ -48,7 +57,7 @@ def write_passages(articles: DataFrame, path: str) -> None:
     words = ingest.count_all_words(F.col("paras"))
     articles.select(F.col("doc_id").alias("id"), "title", ingest.prior(words).alias("prior")).write.mode("overwrite").parquet(f"{path}/docs")
     ingest.title_table(articles).repartitionByRange("norm").sortWithinPartitions("norm").write.mode("overwrite").parquet(f"{path}/titles")
-    write_postings(ingest.passages(articles), path)
+    write_postings(ingest.passages(articles), path, spark.read.parquet(f"{path}/chunks").count())
 
 
 def pack_passages(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:

@@ -90,3 +90,45 @@ def test_pack_passages_of_some_chunks(spark, tmp_path):
     packs.write_passages(rows, f"file://{tmp_path}/p")
     only = spark.createDataFrame([(3 * ingest.CHUNKS_PER_DOC + 1,)], "chunk_id long")
     assert [(r["title"], r["text"]) for r in packs.pack_passages(spark, f"file://{tmp_path}/p", only).collect()] == [("T3", "body 3")]
+
+
+ODD = ["Émile ÀB’s café—ok", "", None, "a b", "  x1 ", "ß straße İx", "日本 語x", "tail", "q" * 70 + " 7-8_9", "naïve😀smile"]
+
+
+def test_words_of_bytes_are_index_tokens(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "chunk_id long, text string").withColumns({"title": F.lit("Ti-tle É"), "section": F.lit(None).cast("string")})
+    want = {r["chunk_id"]: r["w"] for r in rows.select("chunk_id", search.index_tokens(F.col("text")).alias("w")).collect()}
+    for batch in search._slices(search._token_texts(rows.coalesce(1).orderBy("chunk_id")).toArrow().to_batches(), rows=3, most=40):
+        assert batch.num_rows <= 3
+        length, words = search._words(batch.column("text"))
+        at = np.concatenate([[0], np.cumsum(length)])
+        assert [words.to_pylist()[a:b] for a, b in zip(at, at[1:])] == [want[i] for i in batch.column("chunk_id").to_pylist()]
+
+
+def test_postings_are_shuffled_as_blocks(spark, tmp_path):
+    texts = {i: f"Salt {i % 7}\n" + " ".join(["reef"] * (i % 3 + 1) + [f"w{i % 50}", "storms"]) for i in range(400)}
+    rows = ingest.articles(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2))
+    packs.write_passages(rows, f"file://{tmp_path}/p")
+    held = spark.read.parquet(f"file://{tmp_path}/p/postings")
+    want = {}
+    for r in ingest.passages(rows).select("chunk_id", *(search.index_tokens(F.col(c)).alias(c) for c in search.WEIGHTS)).collect():
+        for c in search.WEIGHTS:
+            for pos, w in enumerate(r[c]):
+                want.setdefault((search.stem(w), r["chunk_id"]), []).append((c, pos))
+    got = {(r["term"], r["chunk_id"]): (r["len"], r["freq"], [tuple(p) for p in r["positions"]]) for r in held.collect()}
+    size = {}
+    for (_, c), places in want.items():
+        size[c] = size.get(c, 0) + len(places)
+    assert got == {k: (size[k[1]], sum(search.WEIGHTS[c] for c, _ in v), sorted(v)) for k, v in want.items()} and held.count() == len(want)
+    n, avg = spark.read.parquet(f"file://{tmp_path}/p/stats").first()
+    assert (n, avg) == (800, sum(size.values()) / 800)
+    blocks = search.posting_blocks(ingest.passages(rows))
+    assert blocks.count() < len(want) / 4 and blocks.agg(F.max(F.size("ids"))).first()[0] == search._BLOCK
+    # a term that most chunks have is dealt over several parts, and every file is in order
+    parts = search.Parts(spark.read.parquet(f"file://{tmp_path}/p/chunks"), 800)
+    dealt = {r["term"]: r["n"] for r in search.posting_blocks(ingest.passages(rows), parts).groupBy("term").agg(F.countDistinct("part").alias("n")).collect()}
+    assert max(dealt.values()) > 1 and min(dealt.values()) == 1
+    files = {}
+    for r in held.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k"), "term").orderBy("k").collect():
+        files.setdefault(r["f"], []).append(r["term"])
+    assert all(t == sorted(t) for t in files.values())
