@@ -53,10 +53,11 @@ def write_postings(passages: DataFrame, path: str, n_chunks: int) -> None:
 def write_passages(articles: DataFrame, path: str) -> None:
     """A pack of ``articles`` as they are, with a chunk for each paragraph and without a manifest."""
     spark = articles.sparkSession
-    ingest.passages(articles).drop("title").write.mode("overwrite").parquet(f"{path}/chunks")
+    ingest.passages(articles).drop("title").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
     words = ingest.count_all_words(F.col("paras"))
     articles.select(F.col("doc_id").alias("id"), "title", ingest.prior(words).alias("prior")).write.mode("overwrite").parquet(f"{path}/docs")
-    ingest.title_table(articles).repartitionByRange("norm").sortWithinPartitions("norm").write.mode("overwrite").parquet(f"{path}/titles")
+    docs = spark.read.parquet(f"{path}/docs").select(F.col("id").alias("doc_id"), "title")
+    ingest.title_table(docs).repartitionByRange("norm").sortWithinPartitions("norm").write.mode("overwrite").parquet(f"{path}/titles")
     write_postings(ingest.passages(articles), path, spark.read.parquet(f"{path}/chunks").count())
 
 

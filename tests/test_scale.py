@@ -132,3 +132,18 @@ def test_postings_are_shuffled_as_blocks(spark, tmp_path):
     for r in held.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k"), "term").orderBy("k").collect():
         files.setdefault(r["f"], []).append(r["term"])
     assert all(t == sorted(t) for t in files.values())
+
+
+def test_titles_of_a_pack_need_no_texts(spark, tmp_path):
+    rows = ingest.articles(spark.createDataFrame([(i, f"The Title {i} (x)\nbody") for i in range(5)], "doc_id long, text string"))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    packs.write_passages(rows.mapInArrow(count, rows.schema), f"file://{tmp_path}/p")
+    assert read.value == 3 * 5  # for chunks, documents and postings
+    got = spark.read.parquet(f"file://{tmp_path}/p/titles").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, ingest.title_table(rows).collect()))
