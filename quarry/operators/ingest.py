@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,14 +181,86 @@ def title_table(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.inline(tx.aliases(F.col("title")))).select("norm", "doc_id", "kind")
 
 
+#: Counters of hashed grams, and bytes of text that a worker cuts at a time.
+_COUNTERS, _TEXT_BYTES = 1 << 20, 8 << 20
+
+
+def _word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list[np.ndarray]]]:
+    """Distinct words of some texts, all words as places among those, and where grams of two and three words begin.
+
+    Words end at ASCII white space, as for the pattern ``\\s``."""
+    for batch in batches:
+        texts = batch.column(0)
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _TEXT_BYTES, "right")))
+            words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts.slice(lo, hi - lo), "")))
+            coded = words.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+            yield coded.dictionary, coded.indices.to_numpy(), [np.flatnonzero(row[: -n] == row[n:]) for n in (1, 2)]
+            lo = hi
+
+
+def _counters(words: pa.Array, code: np.ndarray, begins: list[np.ndarray]) -> list[np.ndarray]:
+    """The counter of each gram."""
+    h = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object))[code]
+    found, primes = [], np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    for n, begin in enumerate(begins, 2):
+        x = sum(h[begin + j] * primes[j] for j in range(n))
+        found.append((((x ^ (x >> np.uint64(32))) * primes[0]) >> np.uint64(44)).astype(np.int64))  # 20 bits
+    return found
+
+
+def _gram_counters(texts: DataFrame) -> np.ndarray:
+    """How many grams each counter has met: of all with equal hashes together, so no gram has occurred more often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(_COUNTERS, np.int64)
+        for part in _word_parts(batches):
+            for at in _counters(*part):
+                n += np.bincount(at, minlength=_COUNTERS)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(n[met])], ["at", "n"])
+
+    rows = texts.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row for each counter
+    out = np.zeros(_COUNTERS, np.int64)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _grams(texts: DataFrame, on: np.ndarray) -> DataFrame:
+    """``gram, n``: counts of the grams whose counter is ``on``, in parts."""
+    held = texts.sparkSession.sparkContext.broadcast(np.packbits(on))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(held.value).astype(bool)
+        for words, code, begins in _word_parts(batches):
+            for n, (begin, at) in enumerate(zip(begins, _counters(words, code, begins)), 2):
+                some = begin[on[at]]
+                counts = pc.binary_join_element_wise(*(words.take(pa.array(code[some + j])) for j in range(n)), " ").value_counts()
+                yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["gram", "n"])
+
+    return texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def ngram_dictionary(texts: DataFrame, col: str = "text", *, top: int = 20_000, min_count: int = 4, max_bytes: int = 32_768) -> DataFrame:
-    """``gram, n``: the most frequent 2- and 3-grams of words until ``max_bytes`` are used up."""
-    w = texts.select(F.split(F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", " ")), " ").alias("w"))
-    n = F.size("w")
-    pairs = F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    two = w.filter(n >= 2).select("w", F.inline(F.array(F.struct(pairs.alias("two")))))
-    three = F.zip_with(F.slice("two", 1, F.greatest(n - 2, F.lit(0))), F.slice("w", 3, F.greatest(n - 2, F.lit(1))), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
-    grams = two.select(F.explode(F.concat("two", three)).alias("gram")).filter("gram is not null")
-    best = grams.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).orderBy(F.desc("n"), "gram").limit(top)
+    """``gram, n``: the most frequent 2- and 3-grams of words until ``max_bytes`` are used up.
+
+    A first pass counts hashes of grams.  A gram occurs at most as often as its counter says, so the grams of counters of
+    some least count, counted exactly in a second pass, are all that are as frequent; only these are shuffled.  If they do
+    not yet fill ``top`` or ``max_bytes``, the least count goes down, to ``min_count`` in the end.
+    """
+    texts = texts.select(F.col(col).cast("string").alias("text"))
+    met = _gram_counters(texts)
+    order, rank = np.sort(met)[::-1], top
+    while True:
+        least = max(min_count, int(order[rank])) if rank < len(order) else min_count
+        found = cut(_grams(texts, met >= least).filter(F.col("n") >= least), "grams")
+        n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram") + 1), F.lit(0))).first()
+        if least <= min_count or n >= top or size > max_bytes:
+            break
+        rank *= 8
+    best = found.orderBy(F.desc("n"), "gram").limit(top)
     used = F.sum(F.octet_length("gram") + 1).over(Window.orderBy(F.desc("n"), "gram"))  # over ``top`` rows at most
     return best.withColumn("used", used).filter(F.col("used") <= max_bytes).select("gram", "n")

@@ -1,5 +1,7 @@
 """What leaves a task stays small, and results stay those of the plain forms."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -147,3 +149,40 @@ def test_titles_of_a_pack_need_no_texts(spark, tmp_path):
     assert read.value == 3 * 5  # for chunks, documents and postings
     got = spark.read.parquet(f"file://{tmp_path}/p/titles").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, ingest.title_table(rows).collect()))
+
+
+def _plain_dictionary(texts, top, min_count, max_bytes):
+    counts = {}
+    for t in texts:
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t or "") if x]
+        for n in (2, 3):
+            for i in range(len(w) - n + 1):
+                counts[" ".join(w[i : i + n])] = counts.get(" ".join(w[i : i + n]), 0) + 1
+    used, out = 0, []
+    for g, n in sorted(((g, n) for g, n in counts.items() if n >= min_count), key=lambda x: (-x[1], x[0].encode()))[:top]:
+        used += len(g.encode()) + 1
+        if used <= max_bytes:
+            out.append((g, n))
+    return out, counts
+
+
+def test_only_frequent_grams_are_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" \n".join(f"w{int(x)}" for x in rng.zipf(1.6, 60) % 500) + "\té ß\x0b x" for _ in range(300)] + [None, "", "  ", "one", " a b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for top, least, size in ((20_000, 4, 32_768), (20_000, 4, 300), (25, 4, 32_768), (40, 1, 10**6), (10**6, 1, 10**9)):
+        got = [tuple(r) for r in ingest.ngram_dictionary(rows, top=top, min_count=least, max_bytes=size).orderBy(F.desc("n"), "gram").collect()]
+        assert got == _plain_dictionary(texts, top, least, size)[0]
+    want, counts = _plain_dictionary(texts, 25, 4, 32_768)
+    met = ingest._gram_counters(rows)
+    assert met.sum() == sum(counts.values())
+    sent = ingest._grams(rows, met >= np.sort(met)[::-1][25])
+    assert sent.count() < 60 < len(counts) / 10
+    # counters that say too much put the least count too high at first; it goes down until the result is whole
+    full = met.copy()
+    full[np.flatnonzero(met == 0)[:100]] = 10**6
+    monkeypatch.setattr(ingest, "_gram_counters", lambda _: full)
+    assert sorted(map(tuple, ingest.ngram_dictionary(rows, top=25).collect())) == sorted(want)
+    empty = spark.createDataFrame([], "text string")
+    monkeypatch.undo()
+    assert ingest.ngram_dictionary(empty).count() == 0
